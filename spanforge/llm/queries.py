@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, pii, quality, simhash
+from spanforge.llm import attribution, mixing, packing, pii, quality, rans, simhash
 from spanforge.runtime import prepare
 
 
@@ -33,12 +33,26 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rans.round_trip(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected"
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document: its span in code points, its tokens, and those that cross its ends."""
+    return attribution.attribute(_table(spark, sf_dir, "documents")).drop("name")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -82,7 +96,7 @@ FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_quality, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op8_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
