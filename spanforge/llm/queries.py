@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import attribution, mixing, packing, pii, quality, rans, simhash
+from spanforge.llm import attribution, lm, mixing, packing, pii, pivots, quality, rans, simhash
 from spanforge.runtime import prepare
 
 
@@ -53,6 +53,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(_table(spark, sf_dir, "documents")).drop("name")
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -96,7 +104,7 @@ FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op6_gru_lm, op7_pivots, op8_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
