@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import gru
+from spanforge.llm.words import units
 from spanforge.runtime import stage
 
 #: Documents whose CRC-32 leaves this remainder are held out.
@@ -30,20 +31,6 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct lower-cased words (A-Z only), each token's place among them, and how many each text has. No end tokens."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
-    coded = parts.values.dictionary_encode()
-    index, offsets = coded.indices.to_numpy(), parts.offsets.to_numpy()
-    empty = pc.index(coded.dictionary, "").as_py()
-    sizes = np.diff(offsets)
-    if empty >= 0:  # before a first and after a last separator
-        real = index != empty
-        count = np.concatenate([[0], np.cumsum(real)])
-        sizes, index = np.diff(count[offsets]), index[real]
-    return coded.dictionary, index, sizes.astype(np.int64)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the rows of (text): all words and, as the empty word, ends. Each task counts its batches first."""
 

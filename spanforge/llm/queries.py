@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import attribution, lm, mixing, packing, pii, pivots, quality, rans, simhash
+from spanforge.llm import attribution, lm, mixing, packing, pii, pivots, quality, rans, simhash, toxicity
 from spanforge.runtime import prepare
 
 
@@ -66,6 +66,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Labels that make the chain, in order.
+CATEGORIES = ["quality", "toxic"]
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels table knows one toxicity category; quality precedes it in the chain."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), CATEGORIES)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    prepare(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(_table(spark, sf_dir, "documents"))
     size = F.col("__sf_size")
@@ -104,7 +120,7 @@ FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op6_gru_lm, op7_pivots, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op6_gru_lm, op7_pivots, op8_simhash, op9_toxicity, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
