@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.tokens import encoder
+from spanforge.llm.tokens import encoder, slices
 
 #: Ids a sequence, the id that ends a document, and the public tokenizer.
 LENGTH = 2048
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         narrow = "<u2" if max(enc.size, end) < 1 << 16 else "<u4"
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, sizes = enc.encode(batch.column(1))
             row, piece, start, length, crc, data, at = [], [], [], [], [], [], 0
             for i, n in enumerate(sizes.tolist()):

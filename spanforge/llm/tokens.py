@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept at most, and the longest that is kept.
-CACHED = 500_000
+CACHED = 400_000
 CACHED_LENGTH = 48
 #: Bytes of text encoded at a time.
 CHUNK = 1 << 22
@@ -31,13 +32,32 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[at : at + n] of each, in a row."""
+    before = np.cumsum(n, dtype=np.int32) - n
+    where = np.repeat(at - before, n)
+    where += np.arange(len(where), dtype=np.int32)
+    return flat[where]
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of a text column, so that what is made of them stays small."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Encoder:
     """Encodes texts as tokenizers does with add_special_tokens=False; strings of special tokens are ordinary text.
 
     A byte-level vocabulary (`blanks` kept) never joins across the boundary before a blank that stands
     between other characters, and one that drops white space never joins across any, so a text's ids are
     those of its units in a row. Arrow cuts a chunk of texts and finds its distinct units; those seen before
-    are looked up, the others encoded together once. The cache is emptied when it holds CACHED units.
+    are looked up, the others encoded together once. When the cache holds CACHED units, those that were
+    looked up since the last time stay, if they are not too many, and the others go.
     """
 
     def __init__(self, path: str, blanks: bool):
@@ -55,54 +75,77 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict = {}
+        self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.at = np.empty(1 << 14, np.int32)
         self.length = np.empty(1 << 14, np.int32)
+        self.again = np.zeros(1 << 14, bool)
         self.used = self.count = 0
 
+    def _thin(self) -> None:
+        """Keep the units that were met again; start anew where even these fill most of the cache."""
+        kept = [(u, k) for u, k in self.known.items() if self.again[k]]
+        if len(kept) > CACHED * 3 // 4:
+            return self._clear()
+        old = np.fromiter((k for _, k in kept), np.int64, len(kept))
+        ids, n = gather(self.flat, self.at[old], self.length[old]), self.length[old]
+        self._clear()
+        self.known = {u: i for i, (u, _) in enumerate(kept)}
+        self._append(ids, n)
+
+    def _append(self, ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.count + len(n) > len(self.at):
+            self.at, self.length, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.again))
+        here = slice(self.count, self.count + len(n))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[here] = self.used + np.cumsum(n) - n
+        self.length[here] = n
+        self.again[here] = False
+        self.used += len(ids)
+        self.count += len(n)
+
     def _alone(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _together(self, strings: list[str], between: str) -> list[list[int]]:
-        """Ids of each string, from texts of many strings: ids are dealt back by the bytes that they stand for."""
-        out: list[list[int]] = []
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._alone(strings)
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int32, len(found))
+
+    def _together(self, strings: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings and how many each has, from texts of many strings: ids are dealt by the bytes that they stand for."""
+        parts = [(np.empty(0, np.uint32), np.empty(0, np.int32))]
         groups = [strings[i : i + TOGETHER] for i in range(0, len(strings), TOGETHER)]
         for group, ids in zip(groups, self._alone([between.join(g) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
             ends = np.cumsum([len(s.encode()) for s in group])
             have = np.cumsum(self.bytes[ids])
             last = np.searchsorted(have, ends)
-            if not ids or have[-1] != ends[-1] or not np.array_equal(have[last], ends):
-                out += self._alone(group)
-                continue
-            cut = [0, *(last + 1).tolist()]
-            out += [ids[i:j] for i, j in pairwise(cut)]
-        return out
-
-    def _learn(self, units: list[str], firsts: list[str]) -> int:
-        """Append the ids of units, then of firsts (that no blank precedes), to the cache's arrays."""
+            if len(ids) and have[-1] == ends[-1] and np.array_equal(have[last], ends):
+                parts.append((ids, np.diff(last + 1, prepend=0).astype(np.int32)))
+            else:
+                parts.append(self._each(group))
+        ids, n = zip(*parts, strict=True)
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _learn(self, units: list[str], firsts: list[str]) -> np.ndarray:
+        """Append the ids of units and firsts (that no blank precedes) to the cache's arrays; the place of each."""
         strings = [" " + u for u in units] if self.blanks else units
-        easy = [True] * len(strings) if self.blanks else [bool(_EASY.fullmatch(s)) for s in strings]
-        many = iter(self._together([s for s, e in zip(strings, easy, strict=True) if e], "" if self.blanks else " "))
-        single = iter(self._alone([s for s, e in zip(strings, easy, strict=True) if not e]))
-        found = [next(many) if e else next(single) for e in easy] + self._alone(firsts)
-        n = np.fromiter(map(len, found), np.int32, len(found))
-        total, start = int(n.sum()), self.count
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.count + len(n) > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
-        self.flat[self.used : self.used + total] = list(chain.from_iterable(found))
-        self.at[start : start + len(n)] = self.used + np.cumsum(n) - n
-        self.length[start : start + len(n)] = n
-        self.known.update((u, k) for k, u in enumerate(units, start) if len(u) <= CACHED_LENGTH)
-        self.used += total
-        self.count += len(n)
-        return start
+        hard = [] if self.blanks else [k for k, s in enumerate(strings) if not _EASY.fullmatch(s)]
+        odd = set(hard)
+        easy = [k for k in range(len(strings)) if k not in odd] if odd else range(len(strings))
+        start = self.count
+        self._append(*self._together([strings[k] for k in easy], "" if self.blanks else " "))
+        self._append(*self._each([strings[k] for k in hard] + firsts))
+        place = np.empty(len(units) + len(firsts), np.int32)
+        place[[*easy, *hard, *range(len(units), len(place))]] = np.arange(start, start + len(place), dtype=np.int32)
+        self.known.update((u, k) for u, k in zip(units, place.tolist(), strict=False) if len(u) <= CACHED_LENGTH)
+        return place
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.count > CACHED:
-            self._clear()
+            self._thin()
         whole = pc.match_substring_regex(texts, _RUNS) if self.blanks else None
         odd = [i for i, x in enumerate(whole.to_pylist()) if x] if whole is not None and pc.any(whole).as_py() else []
         if odd:
@@ -110,7 +153,7 @@ class Encoder:
             texts = pc.if_else(whole, "", texts)
         parts = pc.split_pattern(texts, " ") if self.blanks else pc.ascii_split_whitespace(texts)
         coded = parts.values.dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = coded.indices.to_numpy()
         offsets = parts.offsets.to_numpy()
         firsts: list[str] = []
@@ -119,18 +162,17 @@ class Encoder:
             firsts = [units[k] for k in index[first]]
         where = list(map(self.known.get, units))
         new = [k for k, w in enumerate(where) if w is None]
-        start = self._learn([units[k] for k in new], firsts)
         place = np.array([-1 if w is None else w for w in where], np.int32)
-        place[new] = start + np.arange(len(new), dtype=np.int32)
+        self.again[place[place >= 0]] = True
+        learnt = self._learn([units[k] for k in new], firsts)
+        place[new] = learnt[: len(new)]
         which = place[index]
         if firsts:
-            which[first] = start + len(new) + np.arange(len(firsts), dtype=np.int32)
+            which[first] = learnt[len(new) :]
         n = self.length[which]
         before = np.zeros(len(n) + 1, np.int32)
         np.cumsum(n, out=before[1:])
-        at = np.repeat(self.at[which] - before[:-1], n)
-        at += np.arange(before[-1], dtype=np.int32)
-        ids, ends = self.flat[at], before[offsets]
+        ids, ends = gather(self.flat, self.at[which], n), before[offsets]
         sizes = np.diff(ends).astype(np.int64)
         if odd:
             put = np.repeat(ends[odd], [len(x) for x in alone])
@@ -141,13 +183,9 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32), and how many each text has; null as the empty text."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        texts = texts.cast(pa.string()).fill_null("")
-        size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        parts, at = [(np.empty(0, np.uint32), np.empty(0, np.int64))], 0
-        while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-            parts.append(self._some(pa.concat_arrays([texts.slice(at, end - at)])))
-            at = end
+        batch = pa.RecordBatch.from_arrays([texts.cast(pa.string()).fill_null("")], names=["text"])
+        parts = [(np.empty(0, np.uint32), np.empty(0, np.int64))]
+        parts += [self._some(pa.concat_arrays([part.column(0)])) for part in slices(batch, 0)]
         ids, sizes = zip(*parts, strict=True)
         return np.concatenate(ids), np.concatenate(sizes)
 
