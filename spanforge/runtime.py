@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have at most to be broadcast by `attach`.
 BROADCAST_ROWS = 100_000
+#: Rows that go to a Python worker at once: documents may be long, and two workers share an executor's memory.
+ARROW_ROWS = 4000
 #: Copies of each row of the smaller side in a salted join.
 SALTS = 16
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where the launcher did not put it on their path."""
+    """Let Python workers import this package where the launcher did not put it on their path, and send them moderate batches."""
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
