@@ -97,16 +97,17 @@ def nearest(points: DataFrame, cells: DataFrame, e: str = "e", n: str = "n", res
     return keyed.join(cells, ["cx", "cy"], "left").drop("cx", "cy")
 
 
-def bilinear(points: DataFrame, cells: DataFrame, key: str, e: str = "e", n: str = "n", res: float = 1.0) -> DataFrame:
-    """points with z between the four cell centres around each; with any of the four missing, that of its own cell."""
+def bilinear(points: DataFrame, cells: DataFrame, key: str | list[str], e: str = "e", n: str = "n", res: float = 1.0, name: str = "z") -> DataFrame:
+    """points with the value between the four cell centres around each; with any of the four missing, that of its own cell."""
+    keys = [key] if isinstance(key, str) else key
     x, y = F.col(e) / res - 0.5, F.col(n) / res - 0.5
     corners = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (0, 1) for j in (0, 1)])
-    at = points.withColumn("x0", F.floor(x)).withColumn("y0", F.floor(y)).withColumn("fx", x - F.floor(x)).withColumn("fy", y - F.floor(y))
+    at = points.select(*keys, e, n).withColumn("x0", F.floor(x)).withColumn("y0", F.floor(y)).withColumn("fx", x - F.floor(x)).withColumn("fy", y - F.floor(y))
     at = at.withColumn("corner", F.explode(corners)).withColumn("cx", F.col("x0") + F.col("corner.dx")).withColumn("cy", F.col("y0") + F.col("corner.dy"))
     weight = F.when(F.col("corner.dx") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("corner.dy") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
     mine = (F.col("cx") == F.floor(F.col(e) / res)) & (F.col("cy") == F.floor(F.col(n) / res))
-    got = at.join(cells, ["cx", "cy"], "left").groupBy(key).agg(F.count("z").alias("have"), F.sum(weight * F.col("z")).alias("mixed"), F.max(F.when(mine, F.col("z"))).alias("own"))
-    return points.join(got.select(key, F.when(F.col("have") == 4, F.col("mixed")).otherwise(F.col("own")).alias("z")), key, "left")
+    got = at.join(cells.select("cx", "cy", "z"), ["cx", "cy"], "left").groupBy(*keys).agg(F.count("z").alias("have"), F.sum(weight * F.col("z")).alias("mixed"), F.max(F.when(mine, F.col("z"))).alias("own"))
+    return points.join(got.select(*keys, F.when(F.col("have") == 4, F.col("mixed")).otherwise(F.col("own")).alias(name)), keys, "left")
 
 
 def disc_min(points: DataFrame, cells: DataFrame, key: str, radius: float, res: float = 1.0, e: str = "e", n: str = "n") -> DataFrame:

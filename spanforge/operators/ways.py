@@ -246,6 +246,6 @@ def stitch(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
                 chain = chain + (more if meet(chain[-1], more[0]) else more[::-1])[1:]
             if len(chain) > 3 and meet(chain[0], chain[-1]):
                 rings.append([{"e": e, "n": n} for e, n in chain])
-        return pd.DataFrame({"relation": [pdf["relation"].iloc[0]] * len(rings), "ring": rings})
+        return pd.DataFrame({"relation": [pdf["relation"].iloc[0]] * len(rings), "ring": pd.Series(rings, dtype=object)})
 
     return members.groupBy("relation").applyInPandas(run, "relation long, ring array<struct<e:double,n:double>>")
