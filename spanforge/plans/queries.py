@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as fn
-from spanforge.operators import dataset, pairs, profile, raster, select, series, ways
+from spanforge.operators import dataset, openness, pairs, profile, raster, search, select, series, ways
 from spanforge.params import DEFAULTS
 from spanforge.plans import bindings as b
 
@@ -236,6 +236,29 @@ def span_profiles(spark, sf):
     return profile.gather(profile.band_max(profile.stations(b.spans(spark, sf)), wide)).select("id", F.size("ground").alias("n"), F.array_min("ground").alias("low"), F.array_max("ground_max").alias("high"))
 
 
+def _terrain(spark, sf):
+    """Cells of 1 m: each of the bound cells is a terrace of 16 m, as high as its value."""
+    side = F.sequence(F.lit(0), F.lit(15))
+    wide = b.cells(spark, sf).withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
+    return wide.select((F.col("cx") * 16 + F.col("i")).alias("cx"), (F.col("cy") * 16 + F.col("j")).alias("cy"), "z")
+
+
+@query()
+def openness_scan(spark, sf):
+    return openness.scan(_terrain(spark, sf))
+
+
+@query()
+def line_evaluation(spark, sf):
+    measured = search.evaluate(b.spans(spark, sf), search.Scene(_terrain(spark, sf), ways=b.ways(spark, sf)))
+    return measured.groupBy(F.coalesce("reject", F.lit("none")).alias("reject")).agg(F.count("*").alias("n"))
+
+
+@query()
+def planned_lines(spark, sf):
+    return search.plan(b.spans(spark, sf), search.Scene(_terrain(spark, sf))).select("id", "length", fn.half_up(F.col("score"), 1).alias("score"), F.size("violations").alias("broken"))
+
+
 # lines and spots ---------------------------------------------------------------------------------
 
 
