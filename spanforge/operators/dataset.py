@@ -73,10 +73,11 @@ def geojson(lines: DataFrame) -> DataFrame:
 def vintage_scale(regions: DataFrame, stamp: str = "generated_at") -> DataFrame:
     """Age of each region between the newest (0) and oldest (1); 0 where all are of one hour, 1 where the stamp is none."""
     t = F.unix_micros(F.col(stamp).cast("timestamp")) / F.lit(1e6)
-    bounds = regions.agg(F.max(t).alias("newest"), F.min(t).alias("oldest"))
-    span = F.col("newest") - F.col("oldest")
-    scaled = F.when(t.isNull(), F.lit(1.0)).when(span < 3600, F.lit(0.0)).otherwise((F.col("newest") - t) / span)
-    return regions.join(F.broadcast(bounds)).withColumn("age", scaled).drop("newest", "oldest")
+    newest, oldest = regions.agg(F.max(t), F.min(t)).first()
+    if newest is None:
+        return regions.withColumn("age", F.lit(1.0))
+    span = F.lit(newest) - F.lit(oldest)
+    return regions.withColumn("age", F.when(t.isNull(), F.lit(1.0)).when(span < 3600, F.lit(0.0)).otherwise((F.lit(newest) - t) / span))
 
 
 def work_order(areas: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
