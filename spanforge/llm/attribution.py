@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.tokens import encoder
+from spanforge.llm.words import frugal
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Which byte of a token decides the part that gets it.
@@ -59,7 +60,7 @@ def attribute(docs: DataFrame, rule: str = "middle", sections: str | None = None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             texts = batch.column(1).cast(pa.string()).fill_null("")
             size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             at = 0

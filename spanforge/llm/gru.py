@@ -80,7 +80,7 @@ def lay(sizes: np.ndarray, lanes: int) -> Lanes:
         load[k] = size
     order = np.argsort(-load, kind="stable")
     steps = int(load.max(initial=0))
-    target = np.full((steps, lanes), -1, np.int64)
+    target = np.full((steps, lanes), -1, np.int32)
     fresh = np.zeros((steps, lanes), bool)
     for column, k in enumerate(order.tolist()):
         if docs[k]:
@@ -151,7 +151,7 @@ def score(p: dict[str, np.ndarray], symbols: np.ndarray, sizes: np.ndarray, end:
     out = np.zeros(len(symbols), np.float64)
     if not len(symbols):
         return out
-    before = np.concatenate([[end], symbols[:-1]])
+    before = np.concatenate([[end], symbols[:-1]]).astype(symbols.dtype)
     lanes = lay(sizes, SCORE_LANES)
     xw = p["emb"] @ p["wx"] + p["b"]
     h = np.zeros((lanes.n, WIDTH), np.float32)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import gru
-from spanforge.llm.words import units
+from spanforge.llm.words import frugal, units
 from spanforge.runtime import stage
 
 #: Documents whose CRC-32 leaves this remainder are held out.
@@ -21,7 +21,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Words at most whose counts go to every task; the others' counts are joined. The end of a document is the empty word.
 HEAD = 300_000
 #: One of so many training documents (by a hash of the id) trains the recurrent weights; all of them are counted.
-TRAIN_ONE_IN = 4
+TRAIN_ONE_IN = 2
 #: Rounds of training; weights are averaged after each. Bytes of text a trainer gets in a round, about.
 ROUNDS = 2
 TRAINER_BYTES = 8 << 20
@@ -35,7 +35,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the rows of (text): all words and, as the empty word, ends. Each task counts its batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             names, index, _ = units(batch.column(0))
             n = np.bincount(index, minlength=len(names))
             some = n > 0
@@ -71,8 +71,8 @@ class Vocabulary:
 
     def symbols(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head (-1 outside) and model symbol of each distinct word."""
-        place = pc.index_in(names, value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
-        return place, np.where((place >= 0) & (place < gru.SHORT), place, gru.SHORT + rare_class(names))
+        place = pc.index_in(names, value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy().astype(np.int32)
+        return place, np.where((place >= 0) & (place < gru.SHORT), place, gru.SHORT + rare_class(names)).astype(np.int32)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -118,10 +118,10 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int
     mine = docs.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(one_in)) == 0)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             names, index, sizes = units(batch.column(1))
             _, symbol = vocab.symbols(names)
-            ids = np.insert(symbol[index] if len(index) else np.empty(0, np.int64), np.cumsum(sizes), 0).astype("<u2")
+            ids = np.insert(symbol[index], np.cumsum(sizes), 0).astype("<u2")
             at = np.concatenate([[0], np.cumsum(sizes + 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "ids"])
 
@@ -158,14 +158,14 @@ def score(docs: DataFrame, text: str = "text", head: int = HEAD, rounds: int = R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = gru.unflat(weights)
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in frugal(batches):
             names, index, sizes = units(batch.column(1))
             place, symbol = vocab.symbols(names)
             ends = np.cumsum(sizes)
-            where = np.insert(place[index] if len(index) else np.empty(0, np.int64), ends, 0)
-            ids = np.insert(symbol[index] if len(index) else np.empty(0, np.int64), ends, 0)
+            where = np.insert(place[index], ends, 0)
+            ids = np.insert(symbol[index], ends, 0)
             full = sizes + 1
-            doc = np.repeat(np.arange(len(full)), full)
+            doc = np.repeat(np.arange(len(full), dtype=np.int32), full)
             model = gru.score(p, ids, full, 0) / np.log(10)
             inside = where >= 0
             base = np.where(inside, log_short[where], 0.0)

@@ -7,17 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.tokens import encoder, slices
+from spanforge.llm.words import frugal
 
 #: Ids a sequence, the id that ends a document, and the public tokenizer.
 LENGTH = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text whose pieces are packed together, about; and sequence numbers set apart for each such bucket.
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 64 << 20
 NUMBERS = 1 << 32
 
 
@@ -69,7 +71,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         narrow = "<u2" if max(enc.size, end) < 1 << 16 else "<u4"
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in frugal(batches) for part in slices(whole, 1)):
             ids, sizes = enc.encode(batch.column(1))
             row, piece, start, length, crc, data, at = [], [], [], [], [], [], 0
             for i, n in enumerate(sizes.tolist()):
@@ -100,8 +102,10 @@ def pack(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: i
     buckets = max(1, -(-size // bucket_bytes))
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        bins, offsets = sum_of_squares(group["length"].to_numpy(), room)
+        # the ids stay where they are: only lengths are put in order
+        order = pc.sort_indices(group.select(["doc_id", "piece", "ids_crc32"]), [("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
+        bins, offsets = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        bins[order], offsets[order] = sum_of_squares(group["length"].to_numpy()[order], room)
         out = group.drop_columns(["bucket"])
         return out.append_column("sequence_id", pa.array(bins + key[0].as_py() * NUMBERS)).append_column("offset", pa.array(offsets))
 

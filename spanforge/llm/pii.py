@@ -293,7 +293,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.frugal(batches):
             rows = [[dict(zip(("kind", "start", "end", "added"), s, strict=True)) for s in find(x)] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN_TYPE)], names=["doc_id", "spans"])
 
@@ -310,7 +310,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with identifiers masked in the text, and n_chars, if there is one, as long as the new text. Rows and other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.frugal(batches):
             i = batch.schema.get_field_index(text)
             new = pa.array([mask(x) for x in batch.column(i).to_pylist()], batch.schema.field(i).type)
             yield batch.set_column(i, batch.schema.field(i), new)

@@ -68,7 +68,7 @@ def counts(text: str) -> tuple[int, ...]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.frugal(batches):
         rows = [counts(x) for x in words.strings(batch.column(text))]
         columns = list(zip(*rows, strict=True)) or [()] * len(COUNTS)
         yield pa.RecordBatch.from_arrays(

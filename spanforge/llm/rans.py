@@ -20,14 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.tokens import encoder
+from spanforge.llm.tokens import encoder, slices
+from spanforge.llm.words import frugal
 from spanforge.runtime import attach, drop_staged, stage, stage_path
 
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a block, about (whole documents); lanes at most; steps between checkpoints; bits of probabilities at least.
 BLOCK = 1 << 20
-LANES = 1024
+LANES = 2048
 CHECKPOINT = 256
 BITS = 18
 #: Bytes of text that make a shard, about.
@@ -52,7 +53,7 @@ class Table:
     @cached_property
     def symbol(self) -> np.ndarray:
         """The id of each of the 2**bits slots."""
-        return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        return np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
 
     @cached_property
     def crc(self) -> int:
@@ -181,7 +182,7 @@ def tokenize(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, False)
-        for batch in batches:
+        for batch in (part for whole in frugal(batches) for part in slices(whole, 1)):
             ids, sizes = enc.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end).astype(width(enc.size, end))
             raw = pa.py_buffer(ids.tobytes())
@@ -201,12 +202,15 @@ def count_ids(tokens: DataFrame, kind: str) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                n = np.bincount(np.frombuffer(value.as_buffer(), kind))
-                if len(n) > len(total):
-                    total, n = n, total
-                total[: len(n)] += n
+        for batch in frugal(batches):
+            if not batch.num_rows:
+                continue
+            _, offsets, data = batch.column(0).buffers()
+            ends = np.frombuffer(offsets, np.int32)[batch.column(0).offset :][[0, batch.num_rows]]
+            n = np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(kind))
+            if len(n) > len(total):
+                total, n = n, total
+            total[: len(n)] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -242,7 +246,7 @@ def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKEN
             held.clear(), names.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "block", "n_docs", "n_ids", "data"])
 
-        for batch in batches:
+        for batch in frugal(batches):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names.append(name)
                 held.append(np.frombuffer(value.as_buffer(), kind).astype(np.uint32))
@@ -278,7 +282,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     starts = stage(starts.select("shard", "block", (F.col("inner") + F.col("shard_start")).alias("block_start")), "block-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             for shard, number, value in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 b = Block(value.as_py(), t)
                 ids = b.decode()

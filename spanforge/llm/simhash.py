@@ -87,7 +87,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True
     """docs with __sf_fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.frugal(batches):
             fp = pa.array(fingerprints(words.strings(batch.column(text))).view(np.int64))
             rest = batch if keep_text else batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*rest.columns, fp], names=[*rest.schema.names, "__sf_fp"])
@@ -133,7 +133,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = _links_of_runs(k, f)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    for batch in batches:
+    for batch in words.frugal(batches):
         key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
         if len(key):
             cut = int(np.searchsorted(key, key[-1]))

@@ -13,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept at most, and the longest that is kept.
-CACHED = 400_000
+CACHED = 200_000
 CACHED_LENGTH = 48
 #: Bytes of text encoded at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: A blank before other white space or the end, where blanks are no boundaries: such a text is encoded whole.
 _RUNS = r" ([\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 #: A unit of other characters is encoded by itself: normalising might change its length in bytes.

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.words import units
+from spanforge.llm.words import frugal, units
 
 #: Labelled rows that fit the models, those of the lowest hashes; the only bound, and only on training.
 SAMPLE = 20_000
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, chain: list[Linear], categories: list[str], text: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             names, doc, word = word_sets(batch.column(1))
             earlier = np.zeros((batch.num_rows, 0))
             for m in chain:
