@@ -119,9 +119,42 @@ FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+def _op4_sql() -> str:
+    rules = {"few_words": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "n_symbols > 0.3::DOUBLE * n_words", "lines": "n_dup_lines > 0.3::DOUBLE * n_lines"}
+    sums = ", ".join(f"count(*) FILTER ({c}) AS n_{r}" for r, c in rules.items())
+    means = ", ".join(f"sum(n_{r}) / sum(n_docs)::DOUBLE AS m_{r}" for r in rules)
+    spread = ", ".join(f"sum(n_docs * pow(n_{r} / n_docs::DOUBLE - m_{r}, 2)) AS q_{r}" for r in rules)
+    between = ", ".join(f"(q_{r} - (hosts - 1) * m_{r} * (1 - m_{r})) / greatest(n - sq / n::DOUBLE, 1e-9::DOUBLE) AS v_{r}" for r in rules)
+    strength = ", ".join(f"CASE WHEN hosts > 1 AND m_{r} > 0 AND m_{r} < 1 AND v_{r} > 0 THEN least(1e6::DOUBLE, greatest(1.0::DOUBLE, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1e6::DOUBLE END AS s_{r}" for r in rules)
+    bad = " OR ".join(f"(n_{r} + m_{r} * s_{r}) / (n_docs + s_{r}) > 0.5::DOUBLE" for r in rules)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM ws),
+g AS (SELECT rid, i, a, lead(a) OVER (PARTITION BY rid ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM w),
+twice AS (SELECT rid, a, b, c FROM g WHERE c IS NOT NULL GROUP BY rid, a, b, c HAVING count(*) > 1),
+covered AS (SELECT DISTINCT g.rid, g.i + k AS i FROM g JOIN twice USING (rid, a, b, c), (VALUES (0), (1), (2)) AS v(k)),
+r AS (SELECT rid, count(*) AS n FROM covered GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+ls AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+c AS (SELECT d.rid, d.doc_id, d.source, CAST(len(ws.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ls.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(ls.n, 0) AS n_lines
+    FROM d JOIN ws USING (rid) LEFT JOIN r USING (rid) LEFT JOIN ls USING (rid)),
+h AS (SELECT source, count(*) AS n_docs, {sums} FROM c WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT sum(n_docs) AS n, count(*) AS hosts, sum(n_docs * n_docs) AS sq, {means} FROM h),
+q AS (SELECT any_value(m) AS m, {spread} FROM h, m),
+v AS (SELECT m.*, {", ".join(f"q_{r}" for r in rules)}, {between.replace("hosts", "m.hosts").replace("greatest(n - sq / n", "greatest(m.n - m.sq / m.n").replace(" m_", " m.m_").replace("(1 - m_", "(1 - m.m_")} FROM q),
+s AS (SELECT *, {strength} FROM v),
+gone AS (SELECT source, {bad} AS gone FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(gone, false) AS kept, coalesce(gone, false) AS host_rejected
+FROM c LEFT JOIN gone USING (source)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_packing, op3_rans, op4_quality, op5_token_counts, op6_gru_lm, op7_pivots, op8_simhash, op9_toxicity, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op4_quality": _op4_sql(), "op10_mixing": OP10_SQL}
