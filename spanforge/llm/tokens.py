@@ -13,14 +13,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept at most, and the longest that is kept.
-CACHED = 200_000
+CACHED = 400_000
 CACHED_LENGTH = 48
 #: Bytes of text encoded at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 #: A blank before other white space or the end, where blanks are no boundaries: such a text is encoded whole.
 _RUNS = r" ([\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 #: A unit of other characters is encoded by itself: normalising might change its length in bytes.
 _EASY = re.compile("[\x21-\x7e\u00a1-\u012f]*")
+#: Signs that begin a piece of their own behind a letter or digit: where blanks don't count, a unit that ends in one has its
+#: stem's ids and the sign's.
+SIGNS = ".,"
 #: Units encoded in one text.
 TOGETHER = 256
 
@@ -72,6 +75,7 @@ class Encoder:
         self.bytes = np.zeros(max(names.values()) + 1, np.int32)
         self.bytes[list(names.values())] = [len(n.removesuffix("</w>")) for n in names]
         self.size = self.tokenizer.get_vocab_size()
+        self.sign = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in SIGNS}
         self._clear()
 
     def _clear(self) -> None:
@@ -131,6 +135,31 @@ class Encoder:
 
     def _learn(self, units: list[str], firsts: list[str]) -> np.ndarray:
         """Append the ids of units and firsts (that no blank precedes) to the cache's arrays; the place of each."""
+        place = np.full(len(units) + len(firsts), -1, np.int32)
+        signed = [] if self.blanks else [k for k, u in enumerate(units) if len(u) > 1 and u[-1] in SIGNS and u[-2].isalnum() and u.isprintable()]
+        stems = [units[k][:-1] for k in signed]
+        rest = np.ones(len(units), bool)
+        rest[signed] = False
+        whole = np.flatnonzero(rest).tolist()
+        own = {units[k]: k for k in whole}
+        more = list(dict.fromkeys(s for s in stems if s not in own and s not in self.known))
+        at = self._encode([units[k] for k in whole] + more, firsts)
+        place[whole] = at[: len(whole)]
+        place[len(units) :] = at[len(whole) + len(more) :]
+        fresh = dict(zip(more, at[len(whole) : len(whole) + len(more)].tolist(), strict=True))
+        for c, ids in self.sign.items():
+            mine = [(k, s) for k, s in zip(signed, stems, strict=True) if units[k][-1] == c]
+            if mine:
+                base = np.array([place[own[s]] if s in own else fresh[s] if s in fresh else self.known[s] for _, s in mine], np.int32)
+                n = self.length[base]
+                ends = np.cumsum(n)
+                start = self.count
+                self._append(np.insert(gather(self.flat, self.at[base], n), np.repeat(ends, len(ids)), np.tile(np.array(ids, np.uint32), len(mine))), n + len(ids))
+                place[[k for k, _ in mine]] = np.arange(start, start + len(mine), dtype=np.int32)
+        self.known.update((u, k) for u, k in zip([*units, *more], [*place[: len(units)].tolist(), *fresh.values()], strict=True) if len(u) <= CACHED_LENGTH)
+        return place
+
+    def _encode(self, units: list[str], firsts: list[str]) -> np.ndarray:
         strings = [" " + u for u in units] if self.blanks else units
         hard = [] if self.blanks else [k for k, s in enumerate(strings) if not _EASY.fullmatch(s)]
         odd = set(hard)
@@ -140,7 +169,6 @@ class Encoder:
         self._append(*self._each([strings[k] for k in hard] + firsts))
         place = np.empty(len(units) + len(firsts), np.int32)
         place[[*easy, *hard, *range(len(units), len(place))]] = np.arange(start, start + len(place), dtype=np.int32)
-        self.known.update((u, k) for u, k in zip(units, place.tolist(), strict=False) if len(u) <= CACHED_LENGTH)
         return place
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +179,8 @@ class Encoder:
         if odd:
             alone = self._alone(texts.take(pa.array(odd)).to_pylist())
             texts = pc.if_else(whole, "", texts)
-        parts = pc.split_pattern(texts, " ") if self.blanks else pc.ascii_split_whitespace(texts)
+        # the other kind lower-cases anyway, and A-Z may be lowered first without a change
+        parts = pc.split_pattern(texts, " ") if self.blanks else pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = parts.values.dictionary_encode()
         units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = coded.indices.to_numpy()
