@@ -31,8 +31,8 @@ BLOCK = 1 << 20
 LANES = 2048
 CHECKPOINT = 256
 BITS = 18
-#: Bytes of text that make a shard, about.
-SHARD_BYTES = 64 << 20
+#: Ids that make a shard, about.
+SHARD_IDS = 24 << 20
 
 _LOW = 1 << 31
 _HEAD = struct.Struct("<4sBBHIIIQQII")
@@ -50,6 +50,11 @@ class Table:
     def start(self) -> np.ndarray:
         return (np.cumsum(self.freq) - self.freq).astype(np.uint64)
 
+    @cached_property
+    def both(self) -> np.ndarray:
+        """Start and frequency of each id in one number, so that one look-up gets both."""
+        return self.start << np.uint64(32) | self.freq
+
     @cached_property
     def symbol(self) -> np.ndarray:
         """The id of each of the 2**bits slots."""
@@ -159,6 +164,7 @@ class Block:
         at, x = self.marks[mark][0], self.marks[mark][1].astype(np.uint64)
         begin = mark * self.every
         bits, mask, low, word = np.uint64(t.bits), np.uint64((1 << t.bits) - 1), np.uint64(_LOW), np.uint64(32)
+        word_mask = np.uint64(0xFFFFFFFF)
         steps = -(-last // lanes)
         out = np.empty(max(0, min(self.n, steps * lanes) - begin * lanes), np.uint32)
         for step in range(begin, steps):
@@ -167,7 +173,11 @@ class Block:
             slot = y & mask
             s = t.symbol[slot]
             out[a - begin * lanes : b - begin * lanes] = s
-            y[:] = t.freq[s] * (y >> bits) + slot - t.start[s]
+            both = t.both[s]
+            y >>= bits
+            y *= both & word_mask
+            y += slot
+            y -= both >> word
             more = np.flatnonzero(y < low)
             if len(more):
                 y[more] = (y[more] << word) | self.words[at : at + len(more)]
@@ -178,57 +188,53 @@ class Block:
 
 
 def tokenize(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """doc_id and ids (binary, little-endian, 16 bits where the vocabulary allows) with the end id."""
+    """doc_id, n and ids (binary, little-endian, 16 bits where the vocabulary allows) with the end id; and in some rows
+    counts: pairs of (id, occurrences) as 64-bit integers, which over all rows add up to those of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, False)
         for batch in (part for whole in frugal(batches) for part in slices(whole, 1)):
             ids, sizes = enc.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end).astype(width(enc.size, end))
-            raw = pa.py_buffer(ids.tobytes())
+            n = np.bincount(ids)
+            some = np.flatnonzero(n)
+            counts = [np.stack([some, n[some]]).astype("<i8").tobytes()] + [None] * (len(sizes) - 1)
             at = np.concatenate([[0], np.cumsum(sizes + 1)]) * ids.itemsize
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), raw]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), data], names=["doc_id", "ids"])
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1), data, pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 def width(size: int, end: int) -> str:
     return "<u2" if max(size, end + 1) <= 1 << 16 else "<u4"
 
 
-def count_ids(tokens: DataFrame, kind: str) -> dict[int, int]:
-    """How often each id occurs in all documents; as many rows as the vocabulary has ids reach the driver at most."""
+def count_ids(tokens: DataFrame) -> dict[int, int]:
+    """How often each id occurs in all documents, from the counts column alone; as many rows as the vocabulary has ids reach
+    the driver at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in frugal(batches):
-            if not batch.num_rows:
-                continue
-            _, offsets, data = batch.column(0).buffers()
-            ends = np.frombuffer(offsets, np.int32)[batch.column(0).offset :][[0, batch.num_rows]]
-            n = np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(kind))
-            if len(n) > len(total):
-                total, n = n, total
-            total[: len(n)] += n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for value in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(value, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
-def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, vocabulary: int | None = None, shard_bytes: int = SHARD_BYTES) -> None:
+def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, vocabulary: int | None = None, shard_ids: int = SHARD_IDS) -> None:
     """Encode all documents into files under path, in ascending doc_id order (nulls first, then by content).
 
     Texts are tokenized once; the ids are staged, counted, and dealt by ranges of doc_id into shards, whose
     number follows the input. path/table has the frequencies, path/blocks the blocks.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     tokens = stage(tokenize(docs, text, tokenizer, end), "ids")
+    size = tokens.agg(F.sum("n")).first()[0] or 0
     kind = width(vocabulary or encoder(tokenizer, False).size, end)
-    t = table(count_ids(tokens, kind))
+    t = table(count_ids(tokens))
     some = np.flatnonzero(t.freq).tolist()
     spark.createDataFrame([(i, int(t.freq[i]), t.bits) for i in some] or [(0, 0, t.bits)], "id long, freq long, bits int").coalesce(1).write.parquet(f"{path}/table")
 
@@ -256,8 +262,8 @@ def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKEN
         if held:
             yield flush()
 
-    shards = max(1, -(-size // shard_bytes))
-    dealt = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    shards = max(1, -(-size // shard_ids))
+    dealt = tokens.select("doc_id", "ids").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     dealt.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     drop_staged(tokens)
 
