@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.components import components, forest
+from spanforge.llm.words import frugal
 from spanforge.runtime import attach, stage
 
 THRESHOLD = 0.98
@@ -26,6 +27,8 @@ SAMPLED = 4
 APART = 0.9
 #: Vectors of a list compared in one block.
 BLOCK = 1024
+#: Lists up to this long are compared many at a time.
+SHORT = 64
 
 
 def usable(values: pa.Array, labels: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
@@ -97,45 +100,91 @@ def describe(nodes: DataFrame, points: dict[int, np.ndarray], nearest: int = NEA
     return nodes.mapInArrow(run, f"{fields}, near array<int>")
 
 
-def _compare(key: tuple, group: pa.Table, threshold: float) -> pa.Table:
-    """Link counts and a forest of links among the vectors of a list, or between two blocks of a long one."""
-    low, high, left, right = (key[i].as_py() for i in (1, 2, 3, 4))
-    group = group.combine_chunks().sort_by([("nid", "ascending")])
-    nid, weight, block = (group[c].to_numpy() for c in ("nid", "copies", "block"))
-    raw = [np.frombuffer(x, "<f8") for x in group["vec"].to_pylist()]
-    near = group["near"].to_pylist()
-    words = max(max(n) for n in near) // 64 + 1
-    shared = np.zeros((len(nid), words), np.uint64)
-    for i, n in enumerate(near):
-        for k in n:
-            shared[i, k // 64] |= np.uint64(1) << np.uint64(k % 64)
-    # pivots below `high` other than `low`: a pair that shares one of them belongs to another list
-    other = np.array([sum(1 << b for b in range(64) if (k := w * 64 + b) < high and k != low) for w in range(words)], np.uint64)
-    shared &= other
-    links = np.zeros(len(nid), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for dim in {len(r) for r in raw}:
-        mine = np.array([i for i, r in enumerate(raw) if len(r) == dim])
-        x = unit(np.stack([raw[i] for i in mine]))
-        rows = np.flatnonzero(block[mine] == left)
-        cols = rows if left == right else np.flatnonzero(block[mine] == right)
+def _masks(near: list[list[int]], width: int) -> np.ndarray:
+    """The pivots of each row as bits."""
+    out = np.zeros((len(near), width), np.uint64)
+    row = np.repeat(np.arange(len(near)), [len(n) for n in near])
+    k = np.fromiter((x for n in near for x in n), np.int64, len(row))
+    np.bitwise_or.at(out, (row, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+    return out
+
+
+def _below(width: int) -> np.ndarray:
+    """For each pivot, the bits of all pivots before it."""
+    bits = np.tril(np.ones((width * 64, width * 64), np.uint8), -1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _pairs(key: np.ndarray, x: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list whose cosine is high enough: short lists all at once, by their distance in the list; long
+    ones and pairs of blocks one by one, by products of matrices."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    short = np.repeat((sizes <= SHORT) & (left[starts] == right[starts]), sizes)
+    for d in range(1, int(sizes.max(initial=1))):
+        i = np.flatnonzero(short[:-d] & (key[:-d] == key[d:]))
+        if not len(i):
+            break
+        for a in range(0, len(i), 1 << 15):
+            part = i[a : a + (1 << 15)]
+            near = np.einsum("ij,ij->i", x[part], x[part + d]) >= threshold
+            yield part[near], part[near] + d
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        if short[s]:
+            continue
+        rows = s + np.flatnonzero(block[s : s + n] == left[s])
+        cols = rows if left[s] == right[s] else s + np.flatnonzero(block[s : s + n] == right[s])
         for a in range(0, len(rows), BLOCK):
-            part = rows[a : a + BLOCK]
-            i, j = np.nonzero(x[part] @ x[cols].T >= threshold)
-            i, j = mine[part[i]], mine[cols[j]]
-            if left == right:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                own = ~(shared[i] & shared[j]).any(1)
-                i, j = i[own], j[own]
+            i, j = np.nonzero(x[rows[a : a + BLOCK]] @ x[cols].T >= threshold)
+            i, j = rows[a + i], cols[j]
+            yield (i[i < j], j[i < j]) if left[s] == right[s] else (i, j)
+
+
+def _compare(lists: pa.Table, threshold: float, width: int) -> pa.RecordBatch:
+    """Link counts and a forest of links of whole lists: a pair counts where its two lowest shared pivots are the list's."""
+    raw = [np.frombuffer(v, "<f8") for v in lists["vec"].to_pylist()]
+    nid, copies, low, high, key, block, left, right = (lists[c].to_numpy() for c in ("nid", "copies", "low", "high", "key", "block", "left", "right"))
+    masks = _masks(lists["near"].to_pylist(), width)
+    other = _below(width)[high]
+    other[np.arange(len(low)), low // 64] &= ~(np.uint64(1) << (low % 64).astype(np.uint64))
+    links = np.zeros(len(nid), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    lengths = np.array([len(r) for r in raw])
+    for dim in np.unique(lengths):
+        mine = np.flatnonzero(lengths == dim)
+        for i, j in _pairs(key[mine], unit(np.stack([raw[k] for k in mine])), block[mine], left[mine], right[mine], threshold):
+            i, j = mine[i], mine[j]
+            own = ~(masks[i] & masks[j] & other[i]).any(1)
+            i, j = i[own], j[own]
             if len(i):
-                links += np.bincount(i, weight[j], len(nid)).astype(np.int64) + np.bincount(j, weight[i], len(nid)).astype(np.int64)
+                links += np.bincount(i, copies[j], len(nid)).astype(np.int64) + np.bincount(j, copies[i], len(nid)).astype(np.int64)
                 found.append(forest(nid[i], nid[j]))
     some = np.flatnonzero(links)
-    u, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-    out = [np.concatenate([nid[some], u]), np.concatenate([links[some], np.zeros(len(u), np.int64)])]
+    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
     to = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(v, pa.int64())])
-    return pa.table({"nid": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "to": to})
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nid[some], u])), pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)])), to], names=["nid", "links", "to"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
+    """Whole lists from a partition sorted by list. One that goes on in the next batch is held; none has over two blocks."""
+    held: pa.Table | None = None
+    for batch in frugal(batches):
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        names = ("label", "low", "high", "left", "right")
+        new = np.zeros(rows.num_rows, bool)
+        for c in names:
+            code = rows[c].combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        key = np.cumsum(new)
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield _compare(rows.slice(0, cut).append_column("key", pa.array(key[:cut])), threshold, width)
+        held = rows.slice(cut)
+    if held is not None:
+        yield _compare(held.append_column("key", pa.array(np.zeros(held.num_rows, np.int64))), threshold, width)
 
 
 def near_duplicates(df: DataFrame, embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, nearest: int = NEAREST, pivot_count: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -165,8 +214,10 @@ def near_duplicates(df: DataFrame, embedding: str = "embedding", label: str = "l
     cells = cells.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("left", F.least("block", "with")).withColumn("right", F.greatest("block", "with")).drop("blocks", "with")
-    compared = cells.groupBy("label", "low", "high", "left", "right").applyInArrow(lambda key, group: _compare(key, group, threshold), "nid long, links long, to long")
-    compared = stage(compared, "compared")
+    order = ["label", "low", "high", "left", "right"]
+    width = max([len(p) for p in points.values()], default=2) // 64 + 1
+    dealt = cells.select("nid", "label", "copies", "vec", "near", "low", "high", "block", "left", "right").repartition(*order).sortWithinPartitions(*order, "nid")
+    compared = stage(dealt.mapInArrow(lambda it: _lists(it, threshold, width), "nid long, links long, to long"), "compared")
     links = compared.where("to is null").groupBy("nid").agg(F.sum("links").alias("links"))
     parts = components(compared.where("to is not null").select("nid", "to")).withColumnRenamed("node", "nid")
     parts = stage(parts.join(nodes.select("nid", "rep"), "nid"), "linked")
