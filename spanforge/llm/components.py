@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from spanforge.runtime import drop_staged, stage
 
+#: Tasks that a hub's links are spread over in each join.
+SALTS = 8
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a star forest that connects what the links (a, b) connect: each node to the smallest of its part."""
@@ -39,6 +42,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
 
+def _with_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with m of (u, m), joined by u and a salt from v, so that no task gets all links of a hub."""
+    salted = low.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["u", "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a long, b long), root the smallest node reachable; roots included.
 
@@ -58,9 +67,9 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_lowest(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = _with_lowest(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         old, edges = edges, stage(small.distinct(), "links")
         drop_staged(old)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
