@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, personal data, mix of sources, packing.
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mix of sources, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, and all but
 the last return documents with the columns they got. run() writes each stage as Parquet to the shared folder
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing, packing, pii, quality, simhash
+from spanforge.llm import mixing, neardup, packing, pii, quality
 from spanforge.runtime import prepare, stage
 
 ORACLE_SQL = None
@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) stays, that of the smallest doc_id."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("PII", personal_data),
     ("mixing", mix_sources),
     ("best-fit packing", pack_sequences),

@@ -1,0 +1,193 @@
+"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles, for the pipeline.
+
+Texts whose sets are equal share one key and are folded first. Candidates share one of BANDS bands of ROWS
+minima: a pair at a similarity of s goes unseen with a chance of (1 - s ** ROWS) ** BANDS, 5 in 100,000 at
+0.8 and less above. Every candidate is verified by the exact similarity of the two sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanforge.llm import words
+from spanforge.llm.components import components
+from spanforge.llm.simhash import CHUNK, shingle_hashes
+from spanforge.runtime import stage
+
+SHINGLE = 5
+BANDS, ROWS = 25, 5
+#: Copies of the sets that many pairs share.
+SALTS = 8
+#: Pairs that go out at once.
+PAIRS = 1 << 16
+
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes (uint64)."""
+    return np.unique(np.array(shingle_hashes(words.lower_words(text), SHINGLE), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more; two empty ones do."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys for each set (int64), each of ROWS minima of its hashes under odd factors."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    size = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        held = np.concatenate([sets[i] for i in some])
+        starts = np.cumsum(size[some]) - size[some]
+        for b in range(BANDS):
+            key = np.full(len(some), b + 1, np.uint64)
+            for r in range(ROWS):
+                key = (key ^ np.minimum.reduceat(held * _ODD[b * ROWS + r], starts)) * _MIX
+                key ^= key >> np.uint64(29)
+            out[some, b] = key
+    return out.view(np.int64)
+
+
+def with_bands(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with __sf_fp, a key of the set of shingles, __sf_n, its size, and __sf_bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.frugal(batches):
+            fp, n, keys, held, size = [], [], [], [], 0
+            for t in words.strings(batch.column(text)):
+                s = shingles(t)
+                fp.append(xxhash.xxh64_intdigest(s.tobytes()))
+                n.append(len(s))
+                held.append(s)
+                size += len(s)
+                if size > CHUNK:
+                    keys.append(bands(held))
+                    held, size = [], 0
+            keys.append(bands(held))
+            flat = pa.array(np.concatenate(keys).ravel())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), listed], names=[*batch.schema.names, "__sf_fp", "__sf_n", "__sf_bands"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join([*fields, "__sf_fp long, __sf_n long, __sf_bands array<long>"]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of a partition sorted by its first, cut only where that changes."""
+    held = None
+    for batch in words.frugal(batches):
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]):
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            yield tuple(x[:cut] for x in held)
+            held = [x[cut:] for x in held]
+    if held is not None:
+        yield tuple(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, n) of lists of two or more, with the list's size and its first row."""
+    for key, fp, n in _runs(batches):
+        if len(key):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(starts, len(key)))
+            first, many = np.repeat(starts, size), np.repeat(size, size)
+            on = many > 1
+            columns = (key[on], fp[on], n[on], many[on], fp[first][on], n[first][on])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "n", "size", "pivot", "pivot_n"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (key, fp, n, root) of one list that lie in two components and are not of too different sizes."""
+    for key, fp, n, root in _runs(batches):
+        out_u, out_v, held = [], [], 0
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+        for s, e in zip(starts, np.append(starts, len(key))[1:].astype(int) if len(key) else [], strict=True):
+            if (root[s:e] == root[s]).all():
+                continue
+            for i in range(s, e - 1):
+                on = np.flatnonzero((root[i + 1 : e] != root[i]) & (5 * np.minimum(n[i + 1 : e], n[i]) >= 4 * np.maximum(n[i + 1 : e], n[i]))) + i + 1
+                a, b = np.full(len(on), fp[i]), fp[on]
+                out_u.append(np.maximum(a, b)), out_v.append(np.minimum(a, b))
+                held += len(on)
+                if held > PAIRS:
+                    yield _pairs(out_u, out_v)
+                    out_u, out_v, held = [], [], 0
+        if held:
+            yield _pairs(out_u, out_v)
+
+
+def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in words.frugal(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in words.strings(batch.column(1))], pa.binary())], names=["fp", "s"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in words.frugal(batches):
+        a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+        on = pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+        yield batch.select(["u", "v"]).filter(on)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose sets (fp, s) are similar. Sets of v, which many pairs may share, are salted."""
+    hubs = sets.join(pairs.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("v"), F.col("s").alias("sv"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    mine = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").withColumn("salt", F.pmod(F.hash("u"), F.lit(SALTS)))
+    return mine.join(hubs, ["v", "salt"]).select("u", "v", "su", "sv").mapInArrow(_verify, "u long, v long")
+
+
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links that connect what chains of similar pairs connect, of nodes (fp, n, bands) and texts (fp, text).
+
+    Each list's rows are first held against its first one; then all pairs of a list that those links leave in two
+    components, so every pair of a list is verified or known to be connected, while near copies by the thousand
+    take one comparison each.
+    """
+    keyed = nodes.select(F.explode("bands").alias("key"), "fp", "n")
+    lists = stage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, "key long, fp long, n long, size long, pivot long, pivot_n long"), "band-lists")
+    meet = stage(lists.select("fp").distinct(), "candidates")
+    one = texts.join(meet, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = stage(one.mapInArrow(_sets, "fp long, s binary"), "shingle-sets")
+    fits = 5 * F.least("n", "pivot_n") >= 4 * F.greatest("n", "pivot_n")
+    stars = stage(lists.where((F.col("fp") != F.col("pivot")) & fits).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct(), "star-pairs")
+    first = stage(verified(stars, sets), "star-links")
+    roots = components(first).select(F.col("node").alias("fp"), "root")
+    rest = lists.where("size > 2").join(roots, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    across = rest.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_across, "u long, v long").distinct()
+    more = stage(across.join(stars, ["u", "v"], "left_anti"), "cross-pairs")
+    return first.unionByName(verified(more, sets))
+
+
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with the columns of docs.
+
+    A null or empty text has the empty set, like any other such text. Null ids are no smallest id. Rows with
+    one doc_id and one set count as one document. Documents with their bands are staged.
+    """
+    printed = stage(with_bands(docs, text), "banded-docs")
+    light = printed.select("doc_id", F.col("__sf_fp").alias("fp"))
+    nodes = stage(printed.groupBy(F.col("__sf_fp").alias("fp")).agg(F.first("__sf_n").alias("n"), F.first("__sf_bands").alias("bands")), "sets")
+    found = components(links(nodes, printed.select(F.col("__sf_fp").alias("fp"), F.col(f"`{text}`").alias("text")))).withColumnRenamed("node", "fp")
+    low = light.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("best"))
+    best = low.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    winners = stage(best.select(F.col("best.doc_id").alias("__sf_doc"), F.col("best.fp").alias("__sf_win")), "winners")
+    out = printed.join(winners, printed["doc_id"].eqNullSafe(winners["__sf_doc"]) & (printed["__sf_fp"] == winners["__sf_win"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "__sf_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,73 @@
+"""The pipeline's near-duplicates against brute force."""
+
+import random
+
+from spanforge.llm import neardup, words
+
+NAMES = "doc_id long, text string, n_chars long"
+
+
+def shingle_set(text):
+    w = words.lower_words(text)
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return not a and not b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def kept(texts, ids):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    low = {}
+    for i in range(len(sets)):
+        low[top(i)] = min(low.get(top(i), (True, 0)), (ids[i] is None, ids[i] or 0))
+    return sorted(low.values())
+
+
+def test_near_copies_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", " \n", "one", "One two", "a b c d e f g h", "a b c d e f g h i"]
+    for size in (40, 120, 400):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in range(1, 12):
+                copy = list(base)
+                for i in rng.sample(range(size), max(1, edits * size // 300)):
+                    copy[i] = word()
+                texts.append(" ".join(copy))
+    line = " ".join(word() for _ in range(20))
+    texts += [f"{line} {' '.join(word() for _ in range(12))}" for _ in range(60)]  # a common line is no near copy
+    base = [word() for _ in range(60)]
+    for _ in range(80):  # a group whose members are like their neighbours, not like all
+        base[rng.randrange(60)] = word()
+        texts.append(" ".join(base))
+    ids = [None if i % 50 == 9 else 1000 - i for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], NAMES)
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == kept(texts, ids)
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_the_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    copy = [*base[:50], "changed", *base[51:]]
+    df = spark.createDataFrame([(2, " ".join(base), 1), (1, " ".join(copy), 1), (3, "something else", 1)], NAMES)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
