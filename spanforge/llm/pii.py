@@ -120,6 +120,12 @@ _WRAPPED_DOT = re.compile(rf"(?i)(?:(?<!\s){_GAP}++)?[\[({{<_]{_GAP}{{0,2}}(?:{_
 _SPACED_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9_-]){_GAP}(?:{_DOT}){_GAP}(?=[A-Za-z0-9])")
 _SPACED_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%-]){_GAP}(?:(?:{_AT}){_GAP}|@{_GAP}?)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))|(?<=[A-Za-z0-9_%-])@{_GAP}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))")
 _PLUS = re.compile(rf"(?i)(?<!\w)plus{_GAP}(?=[0-9(])")
+# What each pattern above needs, quick to look for; those with words read lower-cased text.
+_FOLD = {0x17F: "s", 0x130: "i", 0x131: "i"}
+_WRAPPED = re.compile(rf"(?i)[\[({{<_]{_GAP}{{0,2}}(?:{_AT}|{_DOT}|@|\.){_GAP}{{0,2}}[\])}}>_]")
+_AT_BY_GAP = re.compile(rf"@(?:(?<={_GAP}@)|{_GAP})")
+_AT_THEN_DOT = [(w, re.compile(rf"{w}{_GAP}[a-z0-9-]++\.")) for w in AT_WORDS]
+_AFTER_DIGIT = re.compile(rf"[0-9][ -](?:{_ANY_DIGIT})(?!\w)")
 _TOP = re.compile(r"\.[A-Za-z]{2,24}\Z")
 
 
@@ -194,9 +200,14 @@ def _characters(m: Mapped) -> None:
         m.rewrite([(x.start(), x.end(), p) for x in _ODD.finditer(m.text) if (p := _plain_char(x[0])) != x[0]])
 
 
+def _low(text: str) -> str:
+    """Lower case, with the letters that case-blind patterns take for an i or an s as these."""
+    return text.lower() if text.isascii() else text.translate(_FOLD).lower()
+
+
 def _digits(m: Mapped) -> None:
     """Spelled digits in runs: each becomes its digit, and a single space, hyphen or comma between two goes."""
-    found = [(x.start(), x.end(), _DIGITS[x[0].lower()]) for x in _SPELLED.finditer(m.text)]
+    found = [(x.start(), x.end(), _DIGITS[_low(x[0])]) for x in _SPELLED.finditer(m.text)]
     edits: list[tuple[int, int, str]] = []
     joined = set()
     for k, ((_, e, _), (s, _, _)) in enumerate(pairwise(found)):
@@ -230,17 +241,23 @@ TRANSDUCERS: tuple[Callable[[Mapped], None], ...] = (
 
 
 def suspicious(text: str) -> bool:
-    """Whether the chain could change anything in the text; cheap enough to ask of every text."""
+    """Whether the chain could change anything in the text; cheap enough to ask of every text.
+
+    The first transducer that changes anything reads the text as it is, so it is enough that no pattern finds
+    anything there. Each is asked for only where what it needs is there.
+    """
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
-    if any(w in low for w in DOT_WORDS) and (_SPACED_DOT.search(low) or _WRAPPED_DOT.search(low)):
+    low = _low(text)
+    if any(b in text for b in "[({<_") and _WRAPPED.search(text):
+        return True
+    if any(w in low for w in DOT_WORDS) and _SPACED_DOT.search(text):
         return True
-    if any(b + w in low for b in "[({<_" for w in (*AT_WORDS, "@", " at", " @")) or "[.]" in low or "(.)" in low or "{.}" in low or "@ " in low or " @" in low:
+    if ("@" in text and _AT_BY_GAP.search(text) or any(w in low and cue.search(low) for w, cue in _AT_THEN_DOT)) and _SPACED_AT.search(text):
         return True
-    if "plus " in low and _PLUS.search(low):
+    if "plus" in low and _PLUS.search(text):
         return True
-    return bool(_SPELLED_LOW.search(low)) or bool(_MIXED.search(text))
+    return bool(_SPELLED_LOW.search(low)) or bool(_AFTER_DIGIT.search(low)) or bool(_MIXED.search(text))
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
