@@ -218,7 +218,7 @@ def profile_violations(spark, sf):
 
 @query()
 def max_feasible_sag(spark, sf):
-    return profile.max_sag(b.profiles(spark, sf), steps=6)
+    return profile.max_sag(b.profiles(spark, sf))
 
 
 @query(
