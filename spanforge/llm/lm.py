@@ -20,8 +20,8 @@ from spanforge.runtime import stage
 FOLDS, HELD_OUT = 5, 1
 #: Words at most whose counts go to every task; the others' counts are joined. The end of a document is the empty word.
 HEAD = 300_000
-#: One of so many training documents (by a hash of the id) trains the recurrent weights; all of them are counted.
-TRAIN_ONE_IN = 2
+#: One of so many training documents (by a hash of the id) trains the recurrent weights: all of them, as all are counted.
+TRAIN_ONE_IN = 1
 #: Rounds of training; weights are averaged after each. Bytes of text a trainer gets in a round, about.
 ROUNDS = 2
 TRAINER_BYTES = 8 << 20
@@ -110,8 +110,8 @@ def _teacher(weights: np.ndarray):
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, trainer_bytes: int = TRAINER_BYTES) -> np.ndarray:
     """Weights after rounds of parallel training over (doc_id, text) rows of training documents.
 
-    The sampled documents' symbols are dealt to trainers, whose number follows the input; each goes over its
-    documents once a round from the same weights, and the weights are averaged by tokens, pre-summed in each
+    The documents' symbols are dealt to trainers, whose number follows the input; each document
+    is in one of the rounds; in a round a trainer goes once over its documents from the same weights, and the weights are averaged by tokens, pre-summed in each
     task. Only one set of weights reaches the driver.
     """
     weights = gru.flat(gru.initial(vocab.word_weight, vocab.class_weight))
