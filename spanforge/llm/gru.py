@@ -23,6 +23,8 @@ WINDOW = 32
 TRAIN_LANES = 128
 SCORE_LANES = 512
 RATE = 0.01
+#: No chance counts as less.
+LEAST = 1e-37
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
 
 
@@ -48,10 +50,12 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as views of one vector."""
     out, at = {}, 0
+    v = np.ascontiguousarray(v)
     for k, s in shapes().items():
         n = int(np.prod(s))
-        out[k] = np.ascontiguousarray(v[at : at + n], np.float32).reshape(s)
+        out[k] = v[at : at + n].reshape(s)
         at += n
     return out
 
@@ -101,12 +105,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, above: float) -> np.ndarray:
+    """Each row's exponentials below a bound on all entries, over their sum; in place."""
+    x -= above
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    x /= total[:, None]
     return x
 
 
+def _chances(states: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """softmax(states @ w + b) by row.
+
+    States lie within -1 and 1, so column sums of |w| bound the logits from both sides: one shift for all rows
+    does where no row can lose all its entries to it; else each row has its own.
+    """
+    x = states @ w
+    x += b
+    reach = np.abs(w).sum(0)
+    above, sure = float((b + reach).max()), float((b - reach).max())
+    if above - sure > 60:
+        x -= x.max(1, keepdims=True)
+        above = 0.0
+    return _softmax(x, above)
+
+
 def classes_of(symbols: np.ndarray) -> np.ndarray:
     """Classes of symbols: shortlist places 0..SHORT-1, and SHORT + r for rare class r."""
     return np.where(symbols < SHORT, symbols // CLASS_WORDS, symbols - SHORT + CLASSES)
@@ -115,7 +138,7 @@ def classes_of(symbols: np.ndarray) -> np.ndarray:
 def _by_class(symbols: np.ndarray):
     """(class, positions) of the shortlist symbols."""
     short = np.flatnonzero(symbols < SHORT)
-    k = symbols[short] // CLASS_WORDS
+    k = (symbols[short] // CLASS_WORDS).astype(np.uint8)  # sorted by radix
     order = np.argsort(k, kind="stable")
     cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
@@ -129,17 +152,24 @@ def _run(p: dict[str, np.ndarray], xw: np.ndarray, prev: np.ndarray, fresh: np.n
     w = WIDTH
     hs = np.empty((steps, n, w), np.float32)
     kept = []
+    begins = fresh.any(1)
     for t in range(steps):
-        old = h if not fresh[t].any() else h * ~fresh[t][:, None]
+        old = h * ~fresh[t][:, None] if begins[t] else h
         x = xw[prev[t]]
         g = old @ p["wh"]
-        rz = _sigmoid(x[:, : 2 * w] + g[:, : 2 * w])
+        rz = x[:, : 2 * w]
+        rz += g[:, : 2 * w]
+        _sigmoid(rz)
         r, z = rz[:, :w], rz[:, w:]
-        new = np.tanh(x[:, 2 * w :] + r * g[:, 2 * w :])
-        h = new + z * (old - new)
-        hs[t] = h
+        new = r * g[:, 2 * w :]
+        new += x[:, 2 * w :]
+        np.tanh(new, out=new)
+        h = old - new
         if keep:
-            kept.append((old, r, z, new, g[:, 2 * w :]))
+            kept.append((old, r, z, new, g[:, 2 * w :], h.copy()))
+        h *= z
+        h += new
+        hs[t] = h
     return hs, h, kept
 
 
@@ -168,13 +198,13 @@ def score(p: dict[str, np.ndarray], symbols: np.ndarray, sizes: np.ndarray, end:
 
 
 def token_log(p: dict[str, np.ndarray], hs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    lp = _log_softmax(hs @ p["wc"] + p["bc"])
-    got = lp[np.arange(len(symbols)), classes_of(symbols)].astype(np.float64)
+    q = _chances(hs, p["wc"], p["bc"])
+    got = q[np.arange(len(symbols)), classes_of(symbols)].astype(np.float64)
     for c, at in _by_class(symbols):
         words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        lw = _log_softmax(hs[at] @ p["ww"][words].T + p["bw"][words])
-        got[at] += lw[np.arange(len(at)), symbols[at] - c * CLASS_WORDS]
-    return got
+        q = _chances(hs[at], p["ww"][words].T, p["bw"][words])
+        got[at] *= q[np.arange(len(at)), symbols[at] - c * CLASS_WORDS]
+    return np.log(np.maximum(got, LEAST))
 
 
 def gradients(p: dict[str, np.ndarray], prev: np.ndarray, fresh: np.ndarray, want: np.ndarray, there: np.ndarray, h: np.ndarray):
@@ -183,57 +213,74 @@ def gradients(p: dict[str, np.ndarray], prev: np.ndarray, fresh: np.ndarray, wan
     xw = p["emb"] @ p["wx"] + p["b"]
     hs, last, kept = _run(p, xw, prev, fresh, h, True)
     n = max(1, int(there.sum()))
-    flat_h, symbols = hs[there], want[there]
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    lp = _log_softmax(flat_h @ p["wc"] + p["bc"])
+    whole = bool(there.all())
+    flat_h, symbols = (hs.reshape(-1, w), want.ravel()) if whole else (hs[there], want[there])
+    g = unflat(np.zeros(sum(v.size for v in p.values()), hs.dtype))
+    d = _chances(flat_h, p["wc"], p["bc"])
     rows, k = np.arange(len(symbols)), classes_of(symbols)
-    loss = -float(lp[rows, k].sum())
-    d = np.exp(lp)
+    loss = -float(np.log(np.maximum(d[rows, k], LEAST)).sum())
     d[rows, k] -= 1
     d /= n
-    g["wc"], g["bc"] = flat_h.T @ d, d.sum(0)
+    np.matmul(flat_h.T, d, out=g["wc"])
+    d.sum(0, out=g["bc"])
     dh = d @ p["wc"].T
     for c, at in _by_class(symbols):
         words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        lw = _log_softmax(flat_h[at] @ p["ww"][words].T + p["bw"][words])
-        i = symbols[at] - c * CLASS_WORDS
-        loss -= float(lw[np.arange(len(at)), i].sum())
-        dw = np.exp(lw)
-        dw[np.arange(len(at)), i] -= 1
+        states = flat_h[at]
+        dw = _chances(states, p["ww"][words].T, p["bw"][words])
+        mine = np.arange(len(at)), symbols[at] - c * CLASS_WORDS
+        loss -= float(np.log(np.maximum(dw[mine], LEAST)).sum())
+        dw[mine] -= 1
         dw /= n
-        g["ww"][words], g["bw"][words] = dw.T @ flat_h[at], dw.sum(0)
+        np.matmul(dw.T, states, out=g["ww"][words])
+        dw.sum(0, out=g["bw"][words])
         dh[at] += dw @ p["ww"][words]
-    dhs = np.zeros_like(hs)
-    dhs[there] = dh
+    if whole:
+        dhs = dh.reshape(hs.shape)
+    else:
+        dhs = np.zeros_like(hs)
+        dhs[there] = dh
     dx = np.empty((*prev.shape, 3 * w), np.float32)
     back = np.zeros_like(h)
+    begins = fresh.any(1)
     for t in range(len(prev) - 1, -1, -1):
-        old, r, z, new, gn = kept[t]
+        old, r, z, new, gn, apart = kept[t]
         now = dhs[t] + back
-        dnew = now * (1 - z) * (1 - new * new)
-        dz = now * (old - new) * z * (1 - z)
-        dr = dnew * gn * r * (1 - r)
-        dx[t] = np.concatenate([dr, dz, dnew], 1)
-        dg = np.concatenate([dr, dz, dnew * r], 1)
+        keep = now * z
+        out = dx[t]
+        dr, dz, dnew = out[:, :w], out[:, w : 2 * w], out[:, 2 * w :]
+        np.subtract(now, keep, out=dnew)
+        dnew *= 1 - new * new
+        np.multiply(keep, apart, out=dz)
+        dz *= 1 - z
+        dg = np.empty_like(out)
+        np.multiply(dnew, r, out=dg[:, 2 * w :])
+        np.multiply(dg[:, 2 * w :], gn, out=dr)
+        dr *= 1 - r
+        dg[:, : 2 * w] = out[:, : 2 * w]
         g["wh"] += old.T @ dg
-        back = now * z + dg @ p["wh"].T
-        if fresh[t].any():
-            back *= ~fresh[t][:, None]
+        keep += dg @ p["wh"].T
+        back = keep * ~fresh[t][:, None] if begins[t] else keep
     dx = dx.reshape(-1, 3 * w)
-    seen, which = np.unique(prev.ravel(), return_inverse=True)
+    which = prev.ravel().astype(np.uint16)  # sorted by radix
     order = np.argsort(which, kind="stable")
-    per = np.add.reduceat(dx[order], np.searchsorted(which[order], np.arange(len(seen))), axis=0)
+    which = which[order]
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    seen = which[first]
+    per = np.add.reduceat(dx[order], first, axis=0)
     g["emb"][seen] = per @ p["wx"].T
-    g["wx"], g["b"] = p["emb"][seen].T @ per, per.sum(0)
+    np.matmul(p["emb"][seen].T, per, out=g["wx"])
+    per.sum(0, out=g["b"])
     return loss / n, g, last
 
 
 def train(p: dict[str, np.ndarray], symbols: np.ndarray, sizes: np.ndarray, end: int, rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over the documents with Adam; windows of WINDOW steps over TRAIN_LANES lanes, state carried between them."""
-    p = {k: v.copy() for k, v in p.items()}
+    whole = flat(p)
+    p = unflat(whole)  # views of the one vector that Adam moves
     if not len(symbols):
         return p
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    m, v, step, root = (np.zeros_like(whole) for _ in range(4))
     before = np.concatenate([[end], symbols[:-1]])
     lanes = lay(sizes, TRAIN_LANES)
     h = np.zeros((lanes.n, WIDTH), np.float32)
@@ -244,11 +291,19 @@ def train(p: dict[str, np.ndarray], symbols: np.ndarray, sizes: np.ndarray, end:
         prev = np.where(fresh, end, before[np.maximum(target, 0)])
         want = symbols[np.maximum(target, 0)]
         _, g, h = gradients(p, prev, fresh, want, there, h[:n])
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / max(size, 1e-9))
-        for k in NAMES:
-            d = g[k] * np.float32(clip)
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.01 * (d * d - v[k])
-            p[k] -= (rate / (1 - 0.9**i)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-6)
+        d = g["emb"].base
+        d *= min(1.0, 1.0 / max(float(np.sqrt(np.dot(d, d))), 1e-9))
+        m *= 0.9
+        np.multiply(d, 0.1, out=step)
+        m += step
+        v *= 0.99
+        np.multiply(d, d, out=step)
+        step *= 0.01
+        v += step
+        np.multiply(v, np.float32(1 / (1 - 0.99**i)), out=root)
+        np.sqrt(root, out=root)
+        root += np.float32(1e-6)
+        np.divide(m, root, out=step)
+        step *= np.float32(rate / (1 - 0.9**i))
+        whole -= step
     return p

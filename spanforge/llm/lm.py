@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import gru
 from spanforge.llm.words import frugal, units
-from spanforge.runtime import stage
+from spanforge.runtime import drop_staged, stage
 
 #: Documents whose CRC-32 leaves this remainder are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Words at most whose counts go to every task; the others' counts are joined. The end of a document is the empty word.
 HEAD = 300_000
-#: One of so many training documents (by a hash of the id) trains the recurrent weights: all of them, as all are counted.
-TRAIN_ONE_IN = 1
-#: Rounds of training; weights are averaged after each. Bytes of text a trainer gets in a round, about.
+#: Rounds of training at least; weights are averaged after each. Bytes of text a trainer gets in a round, about.
 ROUNDS = 2
 TRAINER_BYTES = 8 << 20
+#: Sets of weights that meet in one place at most.
+TOGETHER = 64
 
 
 def fold(doc_id: Column) -> Column:
@@ -107,15 +107,38 @@ def _teacher(weights: np.ndarray):
     return teach
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, trainer_bytes: int = TRAINER_BYTES) -> np.ndarray:
-    """Weights after rounds of parallel training over (doc_id, text) rows of training documents.
-
-    The documents' symbols are dealt to trainers, whose number follows the input; each document
-    is in one of the rounds; in a round a trainer goes once over its documents from the same weights, and the weights are averaged by tokens, pre-summed in each
-    task. Only one set of weights reaches the driver.
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (n, w) for a task's rows: tokens, and the mean of their weights by tokens."""
+    n, total = 0, 0.0
+    for batch in frugal(batches):
+        for k, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, total = n + k, total + k * w.values.to_numpy().astype(np.float64)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], names=["n", "w"])
+
+
+def average(taught: DataFrame, before: np.ndarray, together: int = TOGETHER) -> np.ndarray:
+    """The mean weights of (n, w): summed within each task first, then in ever fewer tasks; those of before if there are none."""
+    parts = stage(taught.mapInArrow(_summed, "n long, w array<float>"), "weights")
+    while (rows := parts.count()) > together:
+        fewer = stage(parts.repartition(max(1, rows // max(2, together))).mapInArrow(_summed, "n long, w array<float>"), "weights")
+        drop_staged(parts)
+        parts = fewer
+    got = parts.collect()
+    drop_staged(parts)
+    n = sum(r["n"] for r in got)
+    return (sum(r["n"] * np.array(r["w"], np.float64) for r in got) / n).astype(np.float32) if n else before
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int | None = None, trainer_bytes: int = TRAINER_BYTES) -> np.ndarray:
+    """Weights after rounds of parallel training over all (doc_id, text) rows of training documents.
+
+    Every document is in one of the rounds, by a hash. In a round each trainer goes once over its documents,
+    from the weights that the round before left, and the weights are averaged by tokens. Both the trainers
+    and the rounds follow the input: about trainer_bytes of text each, and a round more each time that the
+    input grows fourfold, ROUNDS at least. At most TOGETHER sets of weights reach the driver.
     """
     weights = gru.flat(gru.initial(vocab.word_weight, vocab.class_weight))
-    mine = docs.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(one_in)) == 0)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frugal(batches):
@@ -125,20 +148,20 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int
             at = np.concatenate([[0], np.cumsum(sizes + 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "ids"])
 
-    coded = stage(mine.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(code, "key long, ids binary"), "train-ids")
+    coded = stage(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(code, "key long, ids binary"), "train-ids")
     size = (coded.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3  # bytes of text are about three times the ids'
-    trainers = max(1, -(-size // (trainer_bytes * rounds)))
+    loads = max(1, -(-size // trainer_bytes))
+    if rounds is None:
+        rounds = max(ROUNDS, (loads.bit_length() + 1) // 2)
+    trainers = max(1, -(-loads // rounds))
     for k in range(rounds):
         part = coded.where(F.pmod(F.shiftrightunsigned("key", 8), F.lit(rounds)) == k).withColumn("trainer", F.pmod(F.shiftrightunsigned("key", 20), F.lit(trainers)))
-        taught = part.groupBy("trainer").applyInArrow(_teacher(weights), "n long, w array<float>")
-        per = taught.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w"))
-        rows = per.orderBy("i").toPandas()
-        if len(rows):
-            weights = rows["w"].to_numpy(np.float32)
+        weights = average(part.groupBy("trainer").applyInArrow(_teacher(weights), "n long, w array<float>"), weights)
+    drop_staged(coded)
     return weights
 
 
-def score(docs: DataFrame, text: str = "text", head: int = HEAD, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", head: int = HEAD, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Counts are over all training documents. Words outside the head are joined with their counts by word, so
@@ -150,7 +173,7 @@ def score(docs: DataFrame, text: str = "text", head: int = HEAD, rounds: int = R
     training = rows.where(~F.col("held_out"))
     counts = stage(count_words(training.select("text")), "word-counts")
     vocab = vocabulary(counts, head)
-    weights = train(training.select("doc_id", "text"), vocab, rounds, one_in)
+    weights = train(training.select("doc_id", "text"), vocab, rounds)
     log_short = np.log10(vocab.counts + 0.5)
     log_rare = np.log10(vocab.rare)
     kind = docs.schema["doc_id"].dataType.simpleString()
