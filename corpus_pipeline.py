@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import mixing, neardup, packing, pii, quality
+from spanforge.llm import mixing, packing, pii, quality, simjoin
 from spanforge.runtime import prepare, stage
 
 ORACLE_SQL = None
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) stays, that of the smallest doc_id."""
     prepare(spark)
-    return neardup.keep_one(docs)
+    return simjoin.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("PII", personal_data),
     ("mixing", mix_sources),
     ("best-fit packing", pack_sequences),
