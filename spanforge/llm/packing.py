@@ -21,6 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text whose pieces are packed together, about; and sequence numbers set apart for each such bucket.
 BUCKET_BYTES = 64 << 20
 NUMBERS = 1 << 32
+#: Shuffle partitions for each bucket whose ids travel, and at most for all.
+SPREAD, PARTITIONS = 4, 100_000
 
 
 def sum_of_squares(lengths: np.ndarray, room: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -65,38 +67,41 @@ def cut(n: int, room: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first), *((s, room) for s in range(first, n, room))]
 
 
-def pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, room: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (little-endian, 16 bits where the vocabulary allows, else 32)."""
+def pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, room: int = LENGTH, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian, 16 bits where the vocabulary allows, else 32)."""
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         narrow = "<u2" if max(enc.size, end) < 1 << 16 else "<u4"
         for batch in (part for whole in frugal(batches) for part in slices(whole, 1)):
-            ids, sizes = enc.encode(batch.column(1))
+            found, sizes = enc.encode(batch.column(1))
             row, piece, start, length, crc, data, at = [], [], [], [], [], [], 0
             for i, n in enumerate(sizes.tolist()):
-                doc = np.append(ids[at : at + n], np.uint32(end)).astype("<u4")
+                doc = np.append(found[at : at + n], np.uint32(end)).astype("<u4")
                 at += n
                 for k, (s, m) in enumerate(cut(n + 1, room)):
                     row.append(i), piece.append(k), start.append(s), length.append(m)
                     crc.append(zlib.crc32(doc[s : s + m]))
-                    data.append(doc[s : s + m].astype(narrow).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(data, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+                    if ids:
+                        data.append(doc[s : s + m].astype(narrow).tobytes())
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(data, pa.binary())] if ids else [])], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
-def pack(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, room: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Every piece with its ids and its place: sequence_id and offset.
+def pack(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END, room: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, ids: bool = True) -> DataFrame:
+    """Every piece with its place, sequence_id and offset, and unless ids is false its ids.
 
     Pieces are dealt by a hash of their id, number and content into buckets of about bucket_bytes of text,
     so that no bucket grows with the input, and each bucket is packed by `sum_of_squares`. Its few open bins
-    are all that is lost against packing the whole. A null or empty text is the end id alone; null ids are
-    kept; repeated rows are packed each; an empty table gives an empty one. Reruns agree.
+    are all that is lost against packing the whole. Without ids only lengths and checksums are shuffled; with
+    them the shuffle has SPREAD partitions a bucket, so that few buckets meet in a task. A null or empty text
+    is the end id alone; null ids are kept; repeated rows are packed each; texts of any length are cut, never
+    shortened; an empty table gives an empty one. Reruns agree.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
@@ -109,7 +114,9 @@ def pack(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: i
         out = group.drop_columns(["bucket"])
         return out.append_column("sequence_id", pa.array(bins + key[0].as_py() * NUMBERS)).append_column("offset", pa.array(offsets))
 
-    cutted = pieces(docs, text, tokenizer, end, room)
-    dealt = cutted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces(docs, text, tokenizer, end, room, ids).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    if ids:
+        dealt = dealt.repartition(min(PARTITIONS, SPREAD * buckets), "bucket")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket").applyInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
+    with_ids = "ids binary, " if ids else ""
+    return dealt.groupBy("bucket").applyInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, {with_ids}sequence_id long, offset long")

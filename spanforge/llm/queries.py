@@ -34,7 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=False)
 
 
 def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ def kept(texts, ids):
     return sorted(low.values())
 
 
-@pytest.mark.parametrize(("hot", "short"), [(simjoin.HOT, simjoin.SHORT), (3, 2)])
-def test_near_copies_are_found(spark, hot, short):
+@pytest.mark.parametrize(("hot", "short", "block"), [(simjoin.HOT, simjoin.SHORT, simjoin.BLOCK), (3, 2, 500)])
+def test_near_copies_are_found(spark, hot, short, block):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts = [None, "", " \n", "one", "One two", "a b c d e f g h", "a b c d e f g h i"]
@@ -62,7 +62,7 @@ def test_near_copies_are_found(spark, hot, short):
         texts.append(" ".join(base))
     ids = [None if i % 50 == 9 else 1000 - i for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], NAMES)
-    got = simjoin.keep_one(df, hot=hot, short=short)
+    got = simjoin.keep_one(df, hot=hot, short=short, block=block)
     assert got.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == kept(texts, ids)
 
