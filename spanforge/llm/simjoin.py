@@ -5,8 +5,8 @@ five-word shingles have a similarity of 0.8 differ in about 15 % of their bits,
 So the fingerprint here is wider and cut into more segments; a pair is a candidate where one segment differs by at
 most one bit, which is an equal one-wildcard variant of it. A segment that differs in one bit has an equal half:
 rows are dealt by halves, and the wildcard variants of the other half are formed and joined within the task, so
-two rows a segment travel in place of one for each variant. Every candidate is verified by the exact similarity
-of the two sets. Texts with equal sets share one key and are folded before any comparison.
+two rows a segment travel in place of one for each variant. Rows that meet so form
+clusters, in which the sets are compared exactly. Texts with equal sets share one key and are folded before any comparison.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import words
-from spanforge.llm.components import components
+from spanforge.llm.components import components, forest
 from spanforge.llm.simhash import CHUNK, shingle_hashes
-from spanforge.runtime import drop_staged, stage
+from spanforge.runtime import attach, drop_staged, stage
 
 SHINGLE = 5
 #: A pair is similar at NEAR / OF and above.
@@ -34,14 +34,12 @@ MISS = 0.01
 LEAST_BITS, MOST_BITS = 20, 32
 #: Bits compared before a pair is verified, and the most that may differ: 3.4 deviations above the mean at the least similarity.
 SKETCH, APART = 128, 33
-#: Lists up to this length give all pairs that pass the sketch; longer ones those across components only.
+#: Lists up to this length are compared many at a time, longer ones row by row.
 SHORT = 32
 #: Rows of one half's value that are joined within a task; more are dealt by its wildcard variants first.
 HOT = 200_000
-#: Copies of the sets that many pairs share.
-SALTS = 8
-#: Pairs that go out at once.
-PAIRS = 1 << 16
+#: Shingles of a cluster's block, about: two blocks are compared in one task.
+BLOCK = 1 << 18
 
 _GOLD, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -63,14 +61,6 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(words.lower_words(text), size), np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 or more; two empty ones do."""
-    if OF * min(len(a), len(b)) < NEAR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * both >= NEAR * (len(a) + len(b) - both)
-
-
 def fingerprint(held: np.ndarray, bits: int) -> np.ndarray:
     """SimHash of a set of hashes in so many bits (uint8, 0 or 1); a tie takes the bit of the smallest hash."""
     out = np.empty(-(-bits // 64) * 64, np.uint8)
@@ -119,7 +109,7 @@ def with_signature(docs: DataFrame, text: str, bits: int, count: int, size: int
 
 
 def keyed(nodes: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
-    """nodes (fp, n, segments, a, b, root) as (key, other, ...): a row for each half of each segment.
+    """nodes (fp, n, segments, a, b) as (key, other, ...): a row for each half of each segment.
 
     key holds the segment, the half and its value; other is the segment's other half. Values with more than
     `hot` rows get a row for each wildcard of the other half, with that variant in the key, so that what meets
@@ -157,8 +147,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _lists(key: np.ndarray, other: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(places in order, starts, sizes, wildcard): lists of two or more rows with an equal variant."""
+def _lists(key: np.ndarray, other: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in order, starts, sizes), for each wildcard: lists of two or more rows with an equal variant."""
     low = (1 << half) - 1
     variant = (key >> half) & 63  # 0: all variants are formed here; else the key's own
     change = np.concatenate([[True], key[1:] != key[:-1]])
@@ -174,85 +164,52 @@ def _lists(key: np.ndarray, other: np.ndarray, half: int) -> Iterator[tuple[np.n
         sizes = np.diff(np.append(starts, len(code)))
         many = sizes > 1
         if many.any():
-            yield mine[order], starts[many], sizes[many], w
-
+            yield mine[order], starts[many], sizes[many]
 
-class _Rows:
-    """The columns of a run and the test that candidates pass."""
 
-    def __init__(self, columns: list[np.ndarray], half: int):
-        self.key, self.other, self.fp, self.n, self.a, self.b, self.root = columns
-        self.a, self.b, self.half = self.a.view(np.uint64), self.b.view(np.uint64), half
+def _near(rows: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of places are of like size and sketch."""
+    n, a, b = rows
+    ok = OF * np.minimum(n[i], n[j]) >= NEAR * np.maximum(n[i], n[j])
+    ok[ok] = np.bitwise_count(a[i[ok]] ^ a[j[ok]]) + np.bitwise_count(b[i[ok]] ^ b[j[ok]]) <= APART
+    return ok
 
-    def pass_(self, i: np.ndarray, j: np.ndarray, w: int) -> np.ndarray:
-        """Pairs that this list is to give (not again by other wildcards or halves), of like size and sketch."""
-        apart = self.other[i] ^ self.other[j]
-        first = (self.key[i] >> 2 * self.half + 6) & 1 == 0
-        ok = (apart == 1 << w) | (apart == 0) & (w == 0) & first
-        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        ok &= OF * low >= NEAR * high
-        ok[ok] = np.bitwise_count(self.a[i[ok]] ^ self.a[j[ok]]) + np.bitwise_count(self.b[i[ok]] ^ self.b[j[ok]]) <= APART
-        return ok
 
+def _long(rows: tuple[np.ndarray, ...], mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the near ones of a long list connect; each row is held against those not yet with it."""
+    group = np.arange(len(mine))
+    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(len(mine) - 1):
+        apart = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
+        met = apart[_near(rows, np.full(len(apart), mine[k]), mine[apart])]
+        if len(met):
+            group[np.isin(group, group[met])] = group[k]
+            u.append(np.full(len(met), mine[k])), v.append(mine[met])
+    return np.concatenate(u), np.concatenate(v)
 
-def _out(rows: _Rows, pairs: list[tuple[np.ndarray, np.ndarray]], long: list[np.ndarray]) -> pa.RecordBatch:
-    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 2
-    u, v = np.maximum(rows.fp[i], rows.fp[j]), np.minimum(rows.fp[i], rows.fp[j])
-    two = np.unique(np.stack([u, v]), axis=1)
-    many = np.unique(np.concatenate(long)) if long else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([two[0], many])), pa.array(np.concatenate([two[1], many]))], names=["u", "v"])
 
-
-def _candidates(half: int, short: int):
-    """Rows (u, v): of lists up to `short` all pairs that pass; of longer ones those with the list's first row, and (u, u) of its members."""
+def _meetings(half: int, short: int):
+    """Rows (u, v): a forest of the near pairs of all lists of a run. No list gives more rows than it has members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches):
-            rows = _Rows(columns, half)
-            pairs, long, held = [], [], 0
-            for order, starts, sizes, w in _lists(rows.key, rows.other, half):
+        for key, other, fp, n, a, b in _runs(batches):
+            rows = n, a.view(np.uint64), b.view(np.uint64)
+            u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+            for order, starts, sizes in _lists(key, other, half):
+                found = [(u, v)]
                 for m in np.unique(sizes).tolist():
                     at = starts[sizes == m]
                     if m <= short:
                         x, y = np.triu_indices(m, 1)
                         i, j = order[(at[:, None] + x).ravel()], order[(at[:, None] + y).ravel()]
+                        ok = _near(rows, i, j)
+                        found.append((fp[i[ok]], fp[j[ok]]))
                     else:
-                        i, j = order[np.repeat(at, m - 1)], order[(at[:, None] + np.arange(1, m)).ravel()]
-                        long.append(rows.fp[order[(at[:, None] + np.arange(m)).ravel()]])
-                    ok = rows.pass_(i, j, w)
-                    pairs.append((i[ok], j[ok]))
-                    held += int(ok.sum()) + (m > short) * len(at) * m
-                    if held > PAIRS:
-                        yield _out(rows, pairs, long)
-                        pairs, long, held = [], [], 0
-            yield _out(rows, pairs, long)
-
-    return run
-
-
-def _across(half: int, short: int):
-    """Rows (u, v) of lists longer than `short`: pairs that pass and lie in two components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches):
-            rows = _Rows(columns, half)
-            pairs, held = [], 0
-            for order, starts, sizes, w in _lists(rows.key, rows.other, half):
-                for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
-                    mine = order[s : s + m]
-                    root = rows.root[mine]
-                    if m <= short or (root == root[0]).all():
-                        continue
-                    for k in range(m - 1):
-                        j = mine[k + 1 :][root[k + 1 :] != root[k]]
-                        i = np.full(len(j), mine[k])
-                        ok = rows.pass_(i, j, w)
-                        pairs.append((i[ok], j[ok]))
-                        held += int(ok.sum())
-                        if held > PAIRS:
-                            yield _out(rows, pairs, [])
-                            pairs, held = [], 0
-            yield _out(rows, pairs, [])
+                        for s in at.tolist():
+                            i, j = _long(rows, order[s : s + m])
+                            found.append((fp[i], fp[j]))
+                u, v = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
@@ -265,49 +222,76 @@ def _sets(size: int):
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in words.frugal(batches):
-        a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-        on = pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
-        yield batch.select(["u", "v"]).filter(on)
-
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) that connect what the similar pairs of a left and a right set connect; of all, where all are left.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose sets (fp, s) are similar. Sets of v, which many pairs may share, are salted."""
-    hubs = sets.join(pairs.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("v"), F.col("s").alias("sv"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    mine = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").withColumn("salt", F.pmod(F.hash("u"), F.lit(SALTS)))
-    return mine.join(hubs, ["v", "salt"]).select("u", "v", "su", "sv").mapInArrow(_verify, "u long, v long")
+    Shared hashes are counted for one set against all others at once, so a group costs its hashes times its sets.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    right = np.flatnonzero(~left) if not left.all() else np.arange(len(sets))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.cumsum(sizes) - sizes
+    held = np.concatenate([flat[at[k] : at[k] + sizes[k]] for k in right])
+    starts = np.cumsum(sizes[right]) - sizes[right]
+    mark = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+    group = np.arange(len(sets))
+    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in np.flatnonzero(left).tolist():
+        if (group[right] == group[k]).all():
+            continue
+        mine = flat[at[k] : at[k] + sizes[k]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[held], starts)
+        mark[mine] = 0
+        met = right[(OF * both >= NEAR * (sizes[k] + sizes[right] - both)) & (group[right] != group[k])]
+        if len(met):
+            group[np.isin(group, group[met])] = group[k]
+            u.append(np.full(len(met), k)), v.append(met)
+    return np.concatenate(u), np.concatenate(v)
 
 
-def links(nodes: DataFrame, texts: DataFrame, bits: int, size: int = SHINGLE, hot: int = HOT, short: int = SHORT) -> DataFrame:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of the groups (key) of a sorted partition."""
+    for key, fp, second, data in _runs(batches):
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            left = ~second[s:e].astype(bool)
+            if e - s > 1 and left.any():
+                i, j = similar_pairs([np.frombuffer(x, np.uint64) for x in data[s:e]], left)
+                out_u.append(fp[s:e][i]), out_v.append(fp[s:e][j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
+
+
+def links(nodes: DataFrame, texts: DataFrame, bits: int, size: int = SHINGLE, hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect what chains of similar candidates connect, of nodes (fp, n, segments, a, b) and texts (fp, text).
 
-    Short lists give all their pairs that pass the sketch, long ones a star; members of long lists that the
-    links so found leave in two components are then compared across these. So every pair that shares a variant
-    is verified or known to be connected, while near copies by the thousand take one comparison each.
+    Rows that share a variant and have near sketches meet; a forest of these meetings gives clusters. A cluster is
+    cut into blocks of about `block` shingles, and every two blocks (most clusters have one) go to one task, which
+    compares their sets exactly and returns a forest of the similar pairs. So neither meetings nor similar pairs
+    are ever emitted by the square of a group, and no task gets a whole cluster that is large.
     """
     half = bits // 2
-
-    def meet(rows: DataFrame, run) -> DataFrame:
-        near = keyed(rows, bits, hot).select("key", "other", "fp", "n", "a", "b", "root")
-        return near.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
-
-    found = stage(meet(nodes.withColumn("root", F.lit(0).cast("long")), _candidates(half, short)).distinct(), "candidates")
-    pairs = found.where("u <> v")
-    long = stage(found.where("u = v").select(F.col("u").alias("fp")), "in-long-lists")
-    used = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(long).distinct()
-    one = texts.join(used, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    near = keyed(nodes, bits, hot).select("key", "other", "fp", "n", "a", "b").repartition("key").sortWithinPartitions("key")
+    met = stage(near.mapInArrow(_meetings(half, short), "u long, v long").distinct(), "meetings")
+    clusters = stage(components(met).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
+    drop_staged(met)
+    members = nodes.select("fp", "n").join(clusters, "fp")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    many = stage(blocks.where("blocks > 1"), "large-clusters")
+    placed = attach(clusters, many, ["cluster"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    pair = F.xxhash64("cluster", F.least("mine", "with"), F.greatest("mine", "with")).alias("key")
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(pair, "fp", (F.col("mine") > F.col("with")).alias("second"))
+    one = texts.join(clusters.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     sets = stage(one.mapInArrow(_sets(size), "fp long, s binary"), "shingle-sets")
-    first = stage(verified(pairs, sets), "links")
-    if long.isEmpty():
-        return first
-    roots = components(first).select(F.col("node").alias("fp"), "root")
-    rest = stage(nodes.join(long, "fp", "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "long-lists")
-    more = stage(meet(rest, _across(half, short)).distinct().join(pairs, ["u", "v"], "left_anti"), "cross-pairs")
-    return first.unionByName(verified(more, sets))
+    held = placed.join(sets, "fp").select("key", "fp", "second", "s").repartition("key").sortWithinPartitions("key")
+    found = stage(held.mapInArrow(_verify, "u long, v long").distinct(), "similar")
+    for used in (clusters, many, sets):
+        drop_staged(used)
+    return found
 
 
-def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, miss: float = MISS, hot: int = HOT, short: int = SHORT) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, miss: float = MISS, hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with the columns of docs.
 
     Documents are linked where their sets of `size`-word shingles (A-Z lower-cased; the whole sequence of a
@@ -325,7 +309,7 @@ def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, miss: flo
     low = F.min(F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("doc_id"), F.col("__sf_row").alias("row"))).alias("best")
     sets = stage(printed.groupBy(F.col("__sf_fp").alias("fp")).agg(*first, low), "sets")
     nodes = sets.where(F.size("segments") > 0).select("fp", "n", "segments", F.col("sketch")[0].alias("a"), F.col("sketch")[1].alias("b"))
-    found = stage(components(links(nodes, printed.select(F.col("__sf_fp").alias("fp"), F.col(text).alias("text")), bits, size, hot, short)).withColumnRenamed("node", "fp"), "components")
+    found = stage(components(links(nodes, printed.select(F.col("__sf_fp").alias("fp"), F.col(text).alias("text")), bits, size, hot, short, block)).withColumnRenamed("node", "fp"), "components")
     best = sets.select("fp", "best").join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     winners = stage(best.select(F.col("best.row").alias("__sf_row")), "winners")
     out = printed.join(winners, "__sf_row", "left_semi").select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -54,7 +54,7 @@ def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[pa
 
 
 class Encoder:
-    """Encodes texts as tokenizers does with add_special_tokens=False; strings of special tokens are ordinary text.
+    """Encodes texts as tokenizers does with add_special_tokens=False; a text that may hold a special token's string is encoded whole.
 
     A byte-level vocabulary (`blanks` kept) never joins across the boundary before a blank that stands
     between other characters, and one that drops white space never joins across any, so a text's ids are
@@ -68,8 +68,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
+        #: strings that the library takes out of a text before anything else
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         #: bytes that each id stands for; byte-level vocabularies write one letter a byte, and one kind marks ends of words
         self.bytes = np.zeros(max(names.values()) + 1, np.int32)
@@ -174,7 +175,9 @@ class Encoder:
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.count > CACHED:
             self._thin()
-        whole = pc.match_substring_regex(texts, _RUNS) if self.blanks else None
+        checks = [pc.match_substring(texts, s) for s in self.special]
+        checks += [pc.match_substring_regex(texts, _RUNS)] if self.blanks else []
+        whole = reduce(pc.or_, checks) if checks else None
         odd = [i for i, x in enumerate(whole.to_pylist()) if x] if whole is not None and pc.any(whole).as_py() else []
         if odd:
             alone = self._alone(texts.take(pa.array(odd)).to_pylist())
