@@ -13,6 +13,8 @@ from spanforge.runtime import drop_staged, stage
 
 #: Tasks that a hub's links are spread over in each join.
 SALTS = 8
+#: Links (16 bytes each) that one task may finish.
+FEW = 1 << 19
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +38,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star forest of a task's links, or several where even what is left of them is long."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
     for batch in batches:
-        if batch.num_rows:
-            a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > 2 * FEW:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > FEW:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["u", "v"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["u", "v"])
 
 
 def _with_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
@@ -48,23 +64,33 @@ def _with_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["u", "salt"]).drop("salt")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether links (u, v), u > v, are stars already: no u has two v, and no v is a u."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out + into > 1").isEmpty()
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) for every node of links (a long, b long), root the smallest node reachable; roots included.
 
-    Each batch of links is first replaced by a star forest. Then every round sends each node's larger
+    Links are replaced by star forests, of each task's links first. Once at most `few` are left, which is
+    counted, one task's forest is the result. While there are more, every round sends each node's larger
     neighbours, and then its smaller ones, to the smallest of them; minima are pre-aggregated and rounds
     are staged, so neither a hub's links nor the links as a whole meet in one place. The rounds end when
-    the links no longer change, after O(log^2) of them at most. An empty table gives an empty one.
+    all links are stars, after O(log^2) of them at most. An empty table gives an empty one.
     """
     a, b = links.columns
     light = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = stage(light.mapInArrow(_contract, "u long, v long"), "links")
-    before = None
+    first = True
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state[0] == 0 or state == before:
+        count = edges.count()
+        if first or count <= few:
+            old, edges = edges, stage(edges.coalesce(max(1, -(-count // few))).mapInArrow(_contract, "u long, v long"), "links")
+            drop_staged(old)
+        if count <= few or _settled(edges):
             break
-        before = state
+        first = False
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = _with_lowest(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

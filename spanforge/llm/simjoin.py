@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import words
 from spanforge.llm.components import components, forest
-from spanforge.llm.simhash import CHUNK, shingle_hashes
-from spanforge.runtime import attach, drop_staged, stage
+from spanforge.llm.simhash import shingle_hashes
+from spanforge.runtime import among, attach, drop_staged, stage
 
 SHINGLE = 5
 #: A pair is similar at NEAR / OF and above.
@@ -38,8 +38,9 @@ SKETCH, APART = 128, 33
 SHORT = 32
 #: Rows of one half's value that are joined within a task; more are dealt by its wildcard variants first.
 HOT = 200_000
-#: Shingles of a cluster's block, about: two blocks are compared in one task.
-BLOCK = 1 << 18
+#: Sets and shingles of a cluster's block, about: two blocks are compared in one task.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 
 _GOLD, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -63,22 +64,21 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(held: np.ndarray, bits: int) -> np.ndarray:
     """SimHash of a set of hashes in so many bits (uint8, 0 or 1); a tie takes the bit of the smallest hash."""
-    out = np.empty(-(-bits // 64) * 64, np.uint8)
-    for k in range(len(out) // 64):
-        sums = np.zeros(64, np.int64)
-        for at in range(0, len(held), CHUNK):
-            x = held[at : at + CHUNK] + np.uint64(((k + 1) * _GOLD) & (1 << 64) - 1)
-            x ^= x >> np.uint64(30)
-            x *= _A
-            x ^= x >> np.uint64(27)
-            x *= _B
-            x ^= x >> np.uint64(31)
-            on = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
-            sums += on.sum(0, dtype=np.int64)
-            if not at:
-                least = on[0]
-        out[64 * k : 64 * k + 64] = np.where(2 * sums == len(held), least, 2 * sums > len(held))
-    return out[:bits]
+    words_ = -(-bits // 64)
+    salt = np.array([((k + 1) * _GOLD) & (1 << 64) - 1 for k in range(words_)], np.uint64)
+    sums = np.zeros(64 * words_, np.int64)
+    for at in range(0, len(held), 255):  # what a byte can count
+        x = held[at : at + 255, None] + salt
+        x ^= x >> np.uint64(30)
+        x *= _A
+        x ^= x >> np.uint64(27)
+        x *= _B
+        x ^= x >> np.uint64(31)
+        on = np.unpackbits(x.view(np.uint8), axis=1)
+        sums += np.add.reduce(on, axis=0, dtype=np.uint8)
+        if not at:
+            least = on[0]
+    return np.where(2 * sums == len(held), least, 2 * sums > len(held)).astype(np.uint8)[:bits]
 
 
 def with_signature(docs: DataFrame, text: str, bits: int, count: int, size: int = SHINGLE) -> DataFrame:
@@ -217,7 +217,7 @@ def _meetings(half: int, short: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.frugal(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in words.strings(batch.column(1))], pa.binary())], names=["fp", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in words.strings(batch.column(1))], pa.binary())], names=["row", "s"])
 
     return run
 
@@ -264,10 +264,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame, texts: DataFrame, bits: int, size: int = SHINGLE, hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect what chains of similar candidates connect, of nodes (fp, n, segments, a, b) and texts (fp, text).
+    """(u, v): links that connect what chains of similar candidates connect, of nodes (fp, row, n, segments, a, b) and texts (row, text).
 
     Rows that share a variant and have near sketches meet; a forest of these meetings gives clusters. A cluster is
-    cut into blocks of about `block` shingles, and every two blocks (most clusters have one) go to one task, which
+    cut into blocks of about `block` sets or BLOCK_SHINGLES shingles, and every two blocks (most clusters have one) go to one task, which
     compares their sets exactly and returns a forest of the similar pairs. So neither meetings nor similar pairs
     are ever emitted by the square of a group, and no task gets a whole cluster that is large.
     """
@@ -276,17 +276,17 @@ def links(nodes: DataFrame, texts: DataFrame, bits: int, size: int = SHINGLE, ho
     met = stage(near.mapInArrow(_meetings(half, short), "u long, v long").distinct(), "meetings")
     clusters = stage(components(met).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
     drop_staged(met)
-    members = nodes.select("fp", "n").join(clusters, "fp")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    members = stage(nodes.select("fp", "row", "n").join(clusters, "fp"), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count("*") / F.lit(block))).cast("int").alias("blocks"))
     many = stage(blocks.where("blocks > 1"), "large-clusters")
     placed = attach(clusters, many, ["cluster"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pair = F.xxhash64("cluster", F.least("mine", "with"), F.greatest("mine", "with")).alias("key")
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(pair, "fp", (F.col("mine") > F.col("with")).alias("second"))
-    one = texts.join(clusters.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = stage(one.mapInArrow(_sets(size), "fp long, s binary"), "shingle-sets")
+    one = among(texts, members.select("row"))
+    sets = stage(one.mapInArrow(_sets(size), "row long, s binary").join(members.select("fp", "row"), "row"), "shingle-sets")
     held = placed.join(sets, "fp").select("key", "fp", "second", "s").repartition("key").sortWithinPartitions("key")
     found = stage(held.mapInArrow(_verify, "u long, v long").distinct(), "similar")
-    for used in (clusters, many, sets):
+    for used in (clusters, members, many, sets):
         drop_staged(used)
     return found
 
@@ -308,11 +308,11 @@ def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, miss: flo
     first = [F.first(c).alias(c.removeprefix("__sf_")) for c in ("__sf_n", "__sf_segments", "__sf_sketch")]
     low = F.min(F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("doc_id"), F.col("__sf_row").alias("row"))).alias("best")
     sets = stage(printed.groupBy(F.col("__sf_fp").alias("fp")).agg(*first, low), "sets")
-    nodes = sets.where(F.size("segments") > 0).select("fp", "n", "segments", F.col("sketch")[0].alias("a"), F.col("sketch")[1].alias("b"))
-    found = stage(components(links(nodes, printed.select(F.col("__sf_fp").alias("fp"), F.col(text).alias("text")), bits, size, hot, short, block)).withColumnRenamed("node", "fp"), "components")
+    nodes = sets.where(F.size("segments") > 0).select("fp", F.col("best.row").alias("row"), "n", "segments", F.col("sketch")[0].alias("a"), F.col("sketch")[1].alias("b"))
+    similar = links(nodes, printed.select(F.col("__sf_row").alias("row"), F.col(text).alias("text")), bits, size, hot, short, block)
+    found = stage(components(similar).withColumnRenamed("node", "fp"), "components")
     best = sets.select("fp", "best").join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    winners = stage(best.select(F.col("best.row").alias("__sf_row")), "winners")
-    out = printed.join(winners, "__sf_row", "left_semi").select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
-    for used in (sets, found):
+    losers = stage(printed.select("__sf_row").join(best.select(F.col("best.row").alias("__sf_row")), "__sf_row", "left_anti"), "losers")
+    for used in (sets, similar, found):
         drop_staged(used)
-    return out
+    return among(printed, losers, "left_anti").select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -323,13 +323,14 @@ def closure(n, links):
     return [find(x) for x in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW, 5])
+def test_components(spark, few):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, x) for x in range(501, 700)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5), few).collect()}
     want = closure(700, links)
     assert got == {x: want[x] for pair in links for x in pair if any(a != b and x in (a, b) for a, b in links)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 @pytest.mark.parametrize("block", [1024, 7])
