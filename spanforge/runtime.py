@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Rows that go to a Python worker at once: documents may be long, and two workers share an executor's memory.
 ARROW_ROWS = 4000
+#: Numbers (longs) that `among` broadcasts at most: 16 MB.
+BROADCAST_KEYS = 1 << 21
 #: Copies of each row of the smaller side in a salted join.
 SALTS = 16
 
@@ -88,3 +90,13 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
         renamed = renamed.withColumn("__sf_salt2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         out = big.join(renamed, equal(big["__sf_salt"] == renamed["__sf_salt2"]), how).drop("__sf_salt", "__sf_salt2")
     return out.drop(*[f"__sf_{k}" for k in keys])
+
+
+def among(big: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of big whose key is (left_semi) or is not (left_anti) in a staged table of one column of longs.
+
+    Up to BROADCAST_KEYS of them, counted first, are broadcast, and big stays where it is; more are joined by key.
+    """
+    (name,) = keys.columns
+    few = keys.count() <= BROADCAST_KEYS
+    return big.join(F.broadcast(keys) if few else keys, name, how)
