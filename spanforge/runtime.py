@@ -15,6 +15,8 @@ BROADCAST_ROWS = 100_000
 ARROW_ROWS = 4000
 #: Numbers (longs) that `among` broadcasts at most: 16 MB.
 BROADCAST_KEYS = 1 << 21
+#: Rows of one key from which `attach_copies` counts it as hot.
+COPIES = 10_000
 #: Copies of each row of the smaller side in a salted join.
 SALTS = 16
 
@@ -31,9 +33,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset and all runs in one process) a local one."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", there)
     return f"{there.rstrip('/')}/spanforge-{spark.sparkContext.applicationId}"
@@ -100,3 +104,13 @@ def among(big: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     (name,) = keys.columns
     few = keys.count() <= BROADCAST_KEYS
     return big.join(F.broadcast(keys) if few else keys, name, how)
+
+
+def attach_copies(big: DataFrame, small: DataFrame, key: str, copies: str, hot: int = COPIES) -> DataFrame:
+    """Inner join of a staged table with a staged one of a row per key, whose column `copies` says how many rows big has of it.
+
+    Keys with more than `hot` rows, which are few, are attached apart: they are broadcast, or salted if they are not few after all.
+    """
+    busy = stage(small.where(F.col(copies) > hot), "hot-keys")
+    cold = big.join(small.where(F.col(copies) <= hot), key)
+    return cold.unionByName(attach(big, busy, [key], "inner").select(*cold.columns))
