@@ -132,7 +132,7 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
     the texts are read once.
     """
     light = docs.select("doc_id", F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, " + ", ".join(f"__sf_{c} long" for c in COUNTS)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host {docs.schema[host].dataType.simpleString()}, " + ", ".join(f"__sf_{c} long" for c in COUNTS)
     counted = stage(light.mapInArrow(lambda it: (b.drop_columns(["text"]) for b in _count(it, "text")), schema), "counts")
     bad_hosts = stage(host_rates(counted, "host").where("rejected").select("host", F.lit(True).alias("host_rejected")), "bad-hosts")
     out = attach(counted, bad_hosts, ["host"]).withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)) & F.col("host").isNotNull())
@@ -143,7 +143,12 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text") -> DataF
 
 
 def keep(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their columns. Counted documents are staged, as both the hosts and the filter need them."""
+    """The documents that the rules keep, with their columns, whatever these are called.
+
+    What holds for nulls, empty texts and repeated rows is as in `verdicts`; texts of any length are taken
+    whole; an empty table gives an empty one. Counted documents are staged, as both the hosts and the filter
+    need them.
+    """
     counted = stage(with_counts(docs, text), "counted-docs")
     bad_hosts = stage(host_rates(counted, host).where("rejected").select("host", F.lit(True).alias("__sf_bad")), "bad-hosts")
     out = counted.where(~base_failed(F.col("__sf_n_words"), F.col("__sf_n_repeat_words"))).withColumn("__sf_on", F.col(f"`{host}`"))

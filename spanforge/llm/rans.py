@@ -89,7 +89,7 @@ def table(counts: dict[int, int], bits: int = BITS) -> Table:
     return Table(freq, bits)
 
 
-def encode_block(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int], t: Table, lanes: int = LANES, every: int = CHECKPOINT) -> bytes:
+def encode_block(ids: np.ndarray, doc_ids: list[int | None] | list[str | None], sizes: list[int], t: Table, lanes: int = LANES, every: int = CHECKPOINT) -> bytes:
     """One block: head, documents (null flags, ids, sizes), states, checkpoints, words, CRC-32 of all that.
 
     Id i is in lane i % lanes, at step i // lanes. States are 64 bits and pass 32-bit words to one shared
@@ -118,10 +118,13 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int], t
         if step and step % every == 0:
             marks.append((taken, x.copy()))
     words = np.concatenate(out[::-1]) if out else np.empty(0, np.uint32)
+    text = int(any(isinstance(d, str) for d in doc_ids))
+    names = [(d or "").encode() for d in doc_ids] if text else []
     parts = [
-        _HEAD.pack(_MAGIC, 1, t.bits, 0, lanes, every, len(sizes), n, len(words), len(marks), t.crc),
+        _HEAD.pack(_MAGIC, 1, t.bits, text, lanes, every, len(sizes), n, len(words), len(marks), t.crc),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
+        np.array([len(d) for d in names] if text else [d or 0 for d in doc_ids], "<i8").tobytes(),
+        b"".join(names),
         np.array(sizes, "<i8").tobytes(),
         x.astype("<u8").tobytes(),
         *[struct.pack("<Q", taken - k) + s.astype("<u8").tobytes() for k, s in marks[::-1]],
@@ -137,7 +140,7 @@ class Block:
     def __init__(self, data: bytes, t: Table):
         if len(data) < _HEAD.size + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("block: checksum")
-        magic, version, bits, _, self.lanes, self.every, docs, self.n, words, marks, crc = _HEAD.unpack_from(data)
+        magic, version, bits, text, self.lanes, self.every, docs, self.n, words, marks, crc = _HEAD.unpack_from(data)
         if (magic, version, bits, crc) != (_MAGIC, 1, t.bits, t.crc):
             raise ValueError("block: other format or table")
         self.table, at = t, _HEAD.size
@@ -149,7 +152,12 @@ class Block:
             return got
 
         nulls = take("u1", docs)
-        self.doc_ids = [None if x else i for x, i in zip(nulls.tolist(), take("<i8", docs).tolist(), strict=True)]
+        ids: list = take("<i8", docs).tolist()
+        if text:
+            ends = np.cumsum([0, *ids]).tolist()
+            blob = take("u1", ends[-1]).tobytes()
+            ids = [blob[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.doc_ids = [None if x else i for x, i in zip(nulls.tolist(), ids, strict=True)]
         self.sizes = take("<i8", docs)
         self.marks = [(0, take("<u8", self.lanes))]
         for _ in range(marks):
@@ -203,7 +211,13 @@ def tokenize(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, en
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1), data, pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
+    kind = id_kind(docs)
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, counts binary")
+
+
+def id_kind(docs: DataFrame) -> str:
+    """Files hold ids as long, or as string where they are text."""
+    return "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
 
 
 def width(size: int, end: int) -> str:
@@ -236,12 +250,12 @@ def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKEN
     kind = width(vocabulary or encoder(tokenizer, False).size, end)
     t = table(count_ids(tokens))
     some = np.flatnonzero(t.freq).tolist()
-    spark.createDataFrame([(i, int(t.freq[i]), t.bits) for i in some] or [(0, 0, t.bits)], "id long, freq long, bits int").coalesce(1).write.parquet(f"{path}/table")
+    spark.createDataFrame([(i, int(t.freq[i]), t.bits, id_kind(docs)) for i in some] or [(0, 0, t.bits, id_kind(docs))], "id long, freq long, bits int, doc_ids string").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
-        names: list[int | None] = []
+        names: list = []
         count = 0
 
         def flush() -> pa.RecordBatch:
@@ -279,6 +293,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for r in rows:
         freq[r["id"]] = r["freq"]
     t = Table(freq, rows[0]["bits"])
+    ids_are = rows[0]["doc_ids"]
     blocks = spark.read.schema("shard int, block int, n_docs long, n_ids long, data binary").parquet(f"{path}/blocks")
     light = blocks.select("shard", "block", "n_ids")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -296,11 +311,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.sizes), [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
                 n = len(b.sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.as_py()] * n, pa.int32()), pa.array([number.as_py()] * n, pa.int32()), pa.array(b.doc_ids, pa.int64()), pa.array(at[:-1]), pa.array(b.sizes), data.cast(pa.binary())],
+                    [pa.array([shard.as_py()] * n, pa.int32()), pa.array([number.as_py()] * n, pa.int32()), pa.array(b.doc_ids, pa.int64() if ids_are == "long" else pa.string()), pa.array(at[:-1]), pa.array(b.sizes), data.cast(pa.binary())],
                     names=["shard", "block", "doc_id", "inner", "n_tokens", "ids"],
                 )
 
-    decoded = blocks.select("shard", "block", "data").mapInArrow(run, "shard int, block int, doc_id long, inner long, n_tokens long, ids binary")
+    decoded = blocks.select("shard", "block", "data").mapInArrow(run, f"shard int, block int, doc_id {ids_are}, inner long, n_tokens long, ids binary")
     out = attach(decoded, starts, ["shard", "block"])
     return out.select("doc_id", (F.col("block_start") + F.col("inner")).alias("start"), "n_tokens", "ids")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import words
 from spanforge.llm.components import components, forest
-from spanforge.runtime import attach, stage
+from spanforge.runtime import attach, attach_copies, stage
 
 SHINGLE = 3
 SEED = 42
@@ -197,16 +197,16 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def classes(printed: DataFrame, hot: int = HOT) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of (doc_id, fp).
+    """(fp, root, component_id, copies) for every distinct fingerprint of (doc_id, fp).
 
-    root is a fingerprint that names the component, component_id the smallest doc_id in reach.
+    root is a fingerprint that names the component, component_id the smallest doc_id in reach, copies the rows.
     """
-    nodes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    linked = components(links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
-    linked = stage(linked.join(nodes, "fp"), "linked")
-    found = linked.join(linked.groupBy("root").agg(F.min("rep").alias("low")), "root").select("fp", "root", "low")
-    out = nodes.join(found, "fp", "left")
-    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "rep").alias("component_id"))
+    nodes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "prints")
+    found = components(links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
+    linked = stage(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    lowest = stage(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("prints")).where("prints > 1").drop("prints"), "lowest")
+    out = attach(linked, lowest, ["root"])
+    return out.select("fp", "root", F.coalesce("component_id", "rep").alias("component_id"), "copies")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
@@ -214,21 +214,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", hot: int = HOT) -> Data
 
     A null or empty text has fingerprint zero and links like any other. Null ids are no smallest id; a
     component of null ids alone has a null component_id. Repeated rows are copies of one another. Copies
-    share one fingerprint, are folded into it before any comparison, and are joined back at the end.
+    share one fingerprint, are folded into it before any comparison, and are joined back at the end, those
+    of a fingerprint with very many without a shuffle. Texts of any length are taken whole. An empty table
+    gives an empty one.
     """
     printed = stage(with_fingerprint(docs.select("doc_id", F.col(f"`{text}`").alias("text")), keep_text=False).withColumnRenamed("__sf_fp", "fp"), "fingerprints")
-    return printed.join(classes(printed, hot), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with the columns of docs.
-
-    Rows with one doc_id and one fingerprint count as one document. Fingerprinted documents are staged.
-    """
-    printed = stage(with_fingerprint(docs, text), "fingerprinted-docs")
-    light = printed.select("doc_id", F.col("__sf_fp").alias("fp"))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("best")
-    best = light.join(classes(light, hot), "fp").groupBy("root").agg(one)
-    winners = stage(best.select(F.col("best.doc_id").alias("__sf_doc"), F.col("best.fp").alias("__sf_win")).distinct(), "winners")
-    out = printed.join(winners, printed["doc_id"].eqNullSafe(winners["__sf_doc"]) & (printed["__sf_fp"] == winners["__sf_win"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "__sf_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return attach_copies(printed, stage(classes(printed, hot), "classes"), "fp", "copies").select("doc_id", "fp", "component_id")

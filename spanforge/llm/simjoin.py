@@ -183,6 +183,7 @@ def _long(rows: tuple[np.ndarray, ...], mine: np.ndarray) -> tuple[np.ndarray, n
         apart = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
         met = apart[_near(rows, np.full(len(apart), mine[k]), mine[apart])]
         if len(met):
+            met = met[np.unique(group[met], return_index=True)[1]]  # one of each group is enough
             group[np.isin(group, group[met])] = group[k]
             u.append(np.full(len(met), mine[k])), v.append(mine[met])
     return np.concatenate(u), np.concatenate(v)
@@ -245,6 +246,7 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray) -> tuple[np.ndarray,
         mark[mine] = 0
         met = right[(OF * both >= NEAR * (sizes[k] + sizes[right] - both)) & (group[right] != group[k])]
         if len(met):
+            met = met[np.unique(group[met], return_index=True)[1]]
             group[np.isin(group, group[met])] = group[k]
             u.append(np.full(len(met), k)), v.append(met)
     return np.concatenate(u), np.concatenate(v)

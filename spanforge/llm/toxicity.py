@@ -136,16 +136,16 @@ def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", sample: int = SAMPLE) -> list[Linear]:
     """The chain from at most `sample` labelled documents, fitted in one task; only the models reach the driver.
 
-    Rows with a null label or text are no examples. Without examples every category has probability one half.
+    Rows with a null label or text are no examples; of several labels of one document the highest counts. Without examples every category has probability one half.
     """
     usable = labels.select("doc_id", *[F.col(f"`{c}`").cast("double").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    usable = usable.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(sample)
+    usable = usable.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))]).orderBy(order, "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(usable), "doc_id")
     n = len(categories)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("key", "ascending"), ("doc_id", "ascending")]).slice(0, sample)
+        group = group.combine_chunks().sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).slice(0, sample)
         y = np.column_stack([group[f"y{i}"].to_numpy() > 0 for i in range(n)])
         chain = fit(group["text"].combine_chunks(), y, group["key"].to_numpy() % FOLDS)
         return pa.table({"model": pa.array([json.dumps([vars(m) for m in chain])])})
