@@ -100,7 +100,7 @@ def evaluate(spans: DataFrame, scene: Scene, p: Params = DEFAULTS) -> DataFrame:
     early = profile.metrics(lines.withColumn("surface", F.col("ground")), None, p).select("id", profile.rejection(p).alias("early"))
     passed = stage(lines.join(early.where("early is null"), "id", "left_semi"), "banded")
     if scene.ways is not None:
-        found = ways.crossings(passed.select("id", "ae", "an", "be", "bn"), scene.ways, p)
+        found = ways.crossings(passed.select("id", "ae", "an", "be", "bn"), scene.ways, p, scene.ground, scene.surface)
         listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "from", "to", "offset", "kind", "tier", "carrier", "onBridge"))).alias("crossings"))
         passed = passed.join(listed, "id", "left").withColumn("crossings", F.coalesce("crossings", F.array().cast(CROSSINGS)))
     else:

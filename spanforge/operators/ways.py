@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.scalars import half_up
+from spanforge.operators import raster
 from spanforge.operators.series import merge_intervals
 from spanforge.params import DEFAULTS, Params
+from spanforge.runtime import stage
 
 # The class of each highway value, live railways, half widths by class, and metres a lane.
 TIERS = {
@@ -71,56 +75,74 @@ def segments(ways: DataFrame) -> DataFrame:
     return at.select(F.col("id").alias("way"), "seg", "tier", "kind", "half", "bridge", a["e"].alias("x0"), a["n"].alias("y0"), b["e"].alias("x1"), b["n"].alias("y1"))
 
 
-def point_segment2(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Squared distance of a point from a segment."""
+def _point_segment2(px: np.ndarray, py: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Squared distances of points from segments."""
     ex, ey = x1 - x0, y1 - y0
     size = ex * ex + ey * ey
-    t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x0) * ex + (py - y0) * ey) / size))).otherwise(F.lit(0.0))
+    t = np.clip(np.divide((px - x0) * ex + (py - y0) * ey, size, out=np.zeros_like(size), where=size > 0), 0, 1)
     dx, dy = px - (x0 + ex * t), py - (y0 + ey * t)
     return dx * dx + dy * dy
 
 
-def crosses(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+def _crosses(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     """Whether two segments (x0, y0, x1, y1) properly cross; a zero counts as the negative side."""
 
-    def left(p: tuple[Column, ...], x: Column, y: Column) -> Column:
+    def left(p: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (p[2] - p[0]) * (y - p[1]) - (p[3] - p[1]) * (x - p[0]) > 0
 
     return (left(a, b[0], b[1]) != left(a, b[2], b[3])) & (left(b, a[0], a[1]) != left(b, a[2], a[3]))
 
 
-def apart2(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Squared distance of two segments: nothing if they cross, else the least of an end from the other segment."""
-    ends = [point_segment2(a[0], a[1], *b), point_segment2(a[2], a[3], *b), point_segment2(b[0], b[1], *a), point_segment2(b[2], b[3], *a)]
-    return F.when(crosses(a, b), F.lit(0.0)).otherwise(F.least(*ends))
+def apart2(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Squared distances of two segments: nothing if they cross, else the least of an end from the other segment."""
+    ends = [_point_segment2(a[0], a[1], *b), _point_segment2(a[2], a[3], *b), _point_segment2(b[0], b[1], *a), _point_segment2(b[2], b[3], *a)]
+    return np.where(_crosses(a, b), 0.0, np.minimum.reduce(ends))
 
 
-def near(spans: DataFrame, segs: DataFrame, p: Params = DEFAULTS, cell: float = 100.0) -> DataFrame:
+def _within(ratio: float):
+    """Batches without the rows whose span and segment are further apart than half and the widest band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ae, an, be, bn, x0, y0, x1, y1, half = (batch.column(c).to_numpy() for c in ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half"))
+            reach = half + np.sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) * ratio
+            yield batch.filter(pa.array(apart2((ae, an, be, bn), (x0, y0, x1, y1)) <= reach * reach))
+
+    return run
+
+
+def near(spans: DataFrame, segs: DataFrame, p: Params = DEFAULTS, cell: float | None = None) -> DataFrame:
     """Spans (id, ae, an, be, bn) with every segment that may come under their band: apart <= half + widest.
 
     Both sides are listed by the cells that their boxes touch (a span's box grown by the widest band), so the join is
-    an equi-join; a pair is kept in the lowest cell that both touch, so no distinct is needed.
+    an equi-join; a pair is kept in the lowest cell that both touch, so no distinct is needed, and only if the boxes
+    overlap. The exact distance, whose parts SQL would evaluate over and over, runs on Arrow batches of what is left.
+    A cell is by default as wide as the spans are on average.
     """
     half = F.col("half")
-    widest = F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an")) * p.side_ratio
+    length = F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an"))
+    if cell is None:
+        cell = max(10.0, float(spans.agg(F.avg(F.greatest(F.abs(F.col("be") - F.col("ae")), F.abs(F.col("bn") - F.col("an"))))).first()[0] or 100.0))
 
-    def cells(df: DataFrame, box: list[Column], name: str) -> DataFrame:
-        low = [F.floor(F.least(box[i], box[i + 2]) / cell) for i in (0, 1)]
-        high = [F.floor(F.greatest(box[i], box[i + 2]) / cell) for i in (0, 1)]
-        out = df.withColumns({f"{name}e": low[0], f"{name}n": low[1], f"{name}e2": high[0], f"{name}n2": high[1]})
-        return out.withColumn("ce", F.explode(F.sequence(f"{name}e", f"{name}e2"))).withColumn("cn", F.explode(F.sequence(f"{name}n", f"{name}n2"))).drop(f"{name}e2", f"{name}n2")
+    def listed(df: DataFrame, box: list[Column], name: str) -> DataFrame:
+        sides = {f"{name}{k}": c for k, c in zip(("w", "s", "e", "n"), box, strict=True)}
+        out = df.withColumns(sides).withColumns({f"{name}ce": F.floor(F.col(f"{name}w") / cell), f"{name}cn": F.floor(F.col(f"{name}s") / cell)})
+        return out.withColumn("ce", F.explode(F.sequence(f"{name}ce", F.floor(F.col(f"{name}e") / cell)))).withColumn("cn", F.explode(F.sequence(f"{name}cn", F.floor(F.col(f"{name}n") / cell))))
 
-    a = spans.withColumn("widest", widest)
-    grow = [F.least("ae", "be") - F.col("widest"), F.least("an", "bn") - F.col("widest"), F.greatest("ae", "be") + F.col("widest"), F.greatest("an", "bn") + F.col("widest")]
-    road = [F.least("x0", "x1") - half, F.least("y0", "y1") - half, F.greatest("x0", "x1") + half, F.greatest("y0", "y1") + half]
-    both = cells(a, grow, "s").join(cells(segs, road, "r"), ["ce", "cn"])
-    first = (F.col("ce") == F.greatest("se", "re")) & (F.col("cn") == F.greatest("sn", "rn"))
-    reach = half + F.col("widest")
-    d2 = apart2(tuple(F.col(c) for c in ("ae", "an", "be", "bn")), tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")))
-    return both.where(first & (d2 <= reach * reach)).drop("ce", "cn", "se", "sn", "re", "rn", "widest")
+    widest = length * p.side_ratio
+    a = listed(spans, [F.least("ae", "be") - widest, F.least("an", "bn") - widest, F.greatest("ae", "be") + widest, F.greatest("an", "bn") + widest], "s_")
+    b = listed(segs, [F.least("x0", "x1") - half, F.least("y0", "y1") - half, F.greatest("x0", "x1") + half, F.greatest("y0", "y1") + half], "r_")
+    overlap = (F.col("s_w") <= F.col("r_e")) & (F.col("r_w") <= F.col("s_e")) & (F.col("s_s") <= F.col("r_n")) & (F.col("r_s") <= F.col("s_n"))
+    lowest = (F.col("s.ce") == F.greatest("s_ce", "r_ce")) & (F.col("s.cn") == F.greatest("s_cn", "r_cn"))
+    same = (F.col("s.ce") == F.col("r.ce")) & (F.col("s.cn") == F.col("r.cn"))
+    kept = [*spans.columns, *segs.columns]
+    met = a.alias("s").join(b.alias("r"), same & overlap & lowest).select(*kept)
+    for c in ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half"):
+        met = met.withColumn(c, F.col(c).cast("double"))
+    return met.mapInArrow(_within(p.side_ratio), met.schema)
 
 
-_CROSSING = "id long, kind string, tier string, onBridge boolean, d double, `from` double, `to` double, offset double, carrier double"
+_CROSSING = "id long, way long, seg int, kind string, tier string, onBridge boolean, d double, `from` double, `to` double, offset double, feet array<struct<e:double,n:double>>"
 
 
 def _touch(batches: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFrame]:
@@ -141,8 +163,8 @@ def _touch(batches: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFra
             return np.hypot(px - x0 - ex * u, py - y0 - ey * u) - half - band(t)
 
         lo, hi = np.zeros(len(pdf)), np.ones(len(pdf))
-        for _ in range(40):
-            going = hi - lo > 1e-6
+        for _ in range(ROUNDS):
+            going = hi - lo > SMALL
             third = (hi - lo) / 3
             fall = gap(lo + third) < gap(hi - third)
             hi, lo = np.where(going & fall, hi - third, hi), np.where(going & ~fall, lo + third, lo)
@@ -151,7 +173,7 @@ def _touch(batches: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFra
 
         def edge(end: float) -> np.ndarray:
             outside, inside = np.full(len(at), end), at.copy()
-            for _ in range(24):
+            for _ in range(HALVINGS):
                 mid = (inside + outside) / 2
                 under = gap(mid) <= 0
                 inside, outside = np.where(under, mid, inside), np.where(under, outside, mid)
@@ -160,18 +182,49 @@ def _touch(batches: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFra
         def tenths(x: np.ndarray) -> np.ndarray:
             return np.floor(x * 10 + 0.5) / 10
 
-        out = pd.DataFrame({"id": pdf["id"], "kind": pdf["kind"], "tier": pdf["tier"], "onBridge": pdf["bridge"], "d": tenths(at * length), "from": tenths(edge(0.0) * length), "to": tenths(edge(1.0) * length), "offset": tenths(np.maximum(0, least + band(at))), "carrier": np.nan})
-        yield out[(least <= 0) & (length > 0)]
+        def foot(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u = np.clip(np.divide((ae + se * t - x0) * ex + (an + sn * t - y0) * ey, size, out=np.zeros_like(size), where=size > 0), 0, 1)
+            return x0 + ex * u, y0 + ey * u
+
+        first, last = edge(0.0), edge(1.0)
+        on = (least <= 0) & (length > 0)
+        places = np.stack([np.stack(foot(t), 1) for t in (first, at, last)], 1)[on]
+        out = pdf.loc[on, ["id", "way", "seg", "kind", "tier"]].assign(onBridge=pdf["bridge"][on], d=tenths(at * length)[on], **{"from": tenths(first * length)[on], "to": tenths(last * length)[on]}, offset=tenths(np.maximum(0, least + band(at)))[on])
+        out["feet"] = pd.Series([[{"e": e, "n": n} for e, n in three] for three in places.tolist()], index=out.index, dtype=object)
+        yield out
+
+
+# Fixed values of the search in `_touch`: rounds and width at which the bracket of the tightest point is small enough, and halvings of each edge.
+ROUNDS, SMALL, HALVINGS = 40, 1e-6, 24
+
+
+def carriers(found: DataFrame, ground: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """found with carrier: how high the way runs, the highest of its three feet to the centimetre, null where none has data.
+
+    A bridge is read from the surface, everything else from the ground. All feet are looked up by one equi-join each.
+    """
+    feet = found.select("id", "way", "seg", "onBridge", F.posexplode("feet").alias("k", "foot")).select("id", "way", "seg", "onBridge", "k", "foot.e", "foot.n")
+    keys = ["id", "way", "seg", "k"]
+    if surface is None:
+        read = raster.bilinear(feet, ground, keys)
+    else:
+        read = raster.bilinear(feet.where(~F.col("onBridge")), ground, keys).unionByName(raster.bilinear(feet.where("onBridge"), surface, keys))
+    high = read.groupBy("id", "way", "seg").agg(half_up(F.max("z"), 2).alias("carrier"))
+    return found.join(high, ["id", "way", "seg"], "left")
 
 
-def crossings(spans: DataFrame, ways: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def crossings(spans: DataFrame, ways: DataFrame, p: Params = DEFAULTS, ground: DataFrame | None = None, surface: DataFrame | None = None) -> DataFrame:
     """Stretches of spans that have a way under their band, overlapping ones of one class joined.
 
-    Candidates come from the cell join; the root search of each is numeric and has no form in SQL, so it runs on Arrow batches.
+    Candidates come from the cell join; the root search of each is numeric and has no form in SQL, so it runs on Arrow
+    batches. With ground (and, for bridges, surface) carrier is the height of the way itself, where it runs; else null.
     """
     found = near(spans, segments(ways), p).mapInPandas(lambda it: _touch(it, p.side_ratio), _CROSSING)
-    found = found.withColumn("carrier", F.when(~F.isnan("carrier"), F.col("carrier")))
-    return merge_intervals(found, ["id", "kind", "tier", "onBridge"])
+    if ground is not None:
+        found = carriers(stage(found, "touching"), ground, surface)
+    else:
+        found = found.withColumn("carrier", F.lit(None).cast("double"))
+    return merge_intervals(found.drop("way", "seg", "feet"), ["id", "kind", "tier", "onBridge"])
 
 
 def fill(polygons: DataFrame, res: float = 1.0) -> DataFrame:
