@@ -12,9 +12,10 @@ from spanforge.params import DEFAULTS, Params
 TAU = 2 * math.pi
 
 
-def half_up(x: Column, digits: int = 0) -> Column:
+def half_up(x: Column | str, digits: int = 0) -> Column:
     """Rounded with halves toward plus infinity: floor(x * 10^digits + 0.5) / 10^digits (not SQL's round)."""
     scale = F.lit(float(10**digits))
+    x = F.col(x) if isinstance(x, str) else x
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
@@ -41,6 +42,11 @@ def is_open(mask: Column, which: Column) -> Column:
     return F.getbit(mask, which) == 1
 
 
+def sector_hex(mask: Column, sectors: int = DEFAULTS.sectors) -> Column:
+    """Open sectors as hexadecimal digits, four a digit, the lowest bit first and the lowest digit first."""
+    return F.concat(*[F.lower(F.hex(F.shiftrightunsigned(mask, k).bitwiseAND(F.lit(15)))) for k in range(0, sectors, 4)])
+
+
 def tile_id(e: Column, n: Column) -> Column:
     """Name of the 1 km tile that holds a point."""
     return F.concat(F.lit("33"), F.floor(e / 1000).cast("string"), F.lit("-"), F.floor(n / 1000).cast("string"))

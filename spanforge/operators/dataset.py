@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.scalars import half_up
+from spanforge.functions.scalars import half_up, to_wgs84
 from spanforge.params import DEFAULTS, Params
+from spanforge.runtime import stage
 
 
 def rescored(lines: DataFrame, sag_ratio: float) -> DataFrame:
@@ -15,11 +16,11 @@ def rescored(lines: DataFrame, sag_ratio: float) -> DataFrame:
 
 
 def line_filter(kinds: list[str] | None = None, score: float = 0, min_length: float = 0, max_length: float | None = None, exposure: float = 0, blocked: float = 100, off_level: float = 100) -> Column:
-    """Percentages for blocked and off_level; the defaults pass everything."""
+    """Percentages for blocked and off_level; the defaults pass everything. No kinds at all (an empty list) pass nothing."""
     keep = (F.col("score") >= score) & (F.col("length") >= min_length) & (F.col("exposure") >= exposure) & (F.col("blocked") * 100 <= blocked) & (F.col("off_level_ratio") * 100 <= off_level)
     if max_length is not None:
         keep = keep & (F.col("length") <= max_length)
-    return keep & F.col("kind").isin(*kinds) if kinds else keep
+    return keep & F.col("kind").isin(*kinds) if kinds is not None else keep
 
 
 def spot_filter(score: float = 0, min_length: float = 0, max_length: float | None = None, exposure: float = 0, blocked: float = 1, off_level: float = 1) -> Column:
@@ -57,17 +58,36 @@ def top(lines: DataFrame, k: int) -> DataFrame:
     return lines.orderBy(F.desc("score"), "id").limit(k)
 
 
+def located(lines: DataFrame) -> DataFrame:
+    """Lines with longitude and latitude of both ends: a_lon, a_lat, b_lon, b_lat."""
+    at = lines.withColumns({f"__{x}": to_wgs84(F.col(f"{x}e"), F.col(f"{x}n")) for x in "ab"})
+    return at.withColumns({f"{x}_{c}": F.col(f"__{x}.{c}") for x in "ab" for c in ("lon", "lat")}).drop("__a", "__b")
+
+
 def shipped(lines: DataFrame) -> DataFrame:
-    """Lines as they are published: coordinates to a tenth, scores to a thousandth, without the kind, which names the file."""
-    return lines.select("id", *[half_up(F.col(c), 1).alias(c) for c in ("ae", "an", "be", "bn", "length")], half_up(F.col("score"), 3).alias("score"))
+    """Lines as they are published: places on the grid and lengths to a tenth, longitudes and latitudes to seven digits, the
+    score and its parts (columns part_*) to three, without the kind, which names the file."""
+    rounded = {f"{x}_{c}": half_up(F.col(f"{x}_{c}"), 7) for x in "ab" for c in ("lon", "lat")}
+    parts = {c: half_up(F.col(c), 3) for c in lines.columns if c == "score" or c.startswith("part_")}
+    tenths = {c: half_up(F.col(c), 1) for c in ("ae", "an", "be", "bn", "length")}
+    return located(lines).withColumns(rounded | parts | tenths).drop("kind")
 
 
 def geojson(lines: DataFrame) -> DataFrame:
-    """A feature for each line, the best last, so that they are drawn on top."""
-    point = [F.array(F.col(f"{x}e"), F.col(f"{x}n")) for x in "ab"]
-    shape = F.struct(F.lit("LineString").alias("type"), F.array(*point).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("id", "kind", "score").alias("properties"), shape.alias("geometry"))
-    return lines.orderBy("score", F.desc("id")).select(F.to_json(feature).alias("feature"))
+    """A feature for each line: its number among all from the best on, its id, score and length, and its ends as longitude
+    and latitude. The worst come first, so that the best are drawn on top."""
+    numbered = ranked(located(lines), [F.desc("score"), F.col("id")], "number")
+    shape = F.struct(F.lit("LineString").alias("type"), F.array(F.array("a_lon", "a_lat"), F.array("b_lon", "b_lat")).alias("coordinates"))
+    properties = F.struct(F.col("id").alias("cid"), "score", "length")
+    feature = F.struct(F.lit("Feature").alias("type"), F.col("number").alias("id"), properties.alias("properties"), shape.alias("geometry"))
+    return numbered.orderBy(F.desc("number")).select(F.to_json(feature).alias("feature"))
+
+
+def off_map(view: tuple[float, float, float, float], areas: DataFrame) -> DataFrame:
+    """One row: whether a view (south, west, north, east) overlaps none of the searched areas (south, west, north, east)."""
+    s, w, n, e = view
+    meets = (F.col("south") < n) & (F.col("north") > s) & (F.col("west") < e) & (F.col("east") > w)
+    return areas.agg((F.count_if(meets) == 0).alias("off_map"))
 
 
 def vintage_scale(regions: DataFrame, stamp: str = "generated_at") -> DataFrame:
@@ -102,6 +122,15 @@ def highest_per(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(value).alias(value))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """df with each row's number in an order: rows are dealt by ranges of it, counted, and numbered within their range."""
+    dealt = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("size"))  # a row a range
+    before = sizes.select("__range", F.coalesce(F.sum("size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + own - 1 + first).drop("__range", "__before")
+
+
 def numbered(points: DataFrame) -> DataFrame:
-    """Points (e, n) with ids in the order of n, then e. One window over all: for a region's anchors, not a country's."""
-    return points.withColumn("id", F.row_number().over(Window.orderBy("n", "e")))
+    """Points (e, n) with ids from 1 in the order of n, then e."""
+    return ranked(points, [F.col("n"), F.col("e")], "id", 1)

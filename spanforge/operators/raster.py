@@ -85,8 +85,14 @@ def roof_tiles(roofs: DataFrame, ground: DataFrame, tile: int, drop: float = DEF
     return high.select(around[0], "ty").select("tx", around[1]).distinct()
 
 
-def raise_onto(ground: DataFrame, roofs: DataFrame) -> DataFrame:
-    """Ground or roof, whichever is higher, and whether the cell is a roof; a roof fills a cell without ground."""
+def raise_onto(ground: DataFrame, roofs: DataFrame, loaded: DataFrame | None = None, tile: int = 1000) -> DataFrame:
+    """Ground or roof, whichever is higher, and whether the cell is a roof; a roof fills a cell without ground.
+
+    Only tiles (tx, ty) that are loaded (by default those that have any ground) get roofs: over others they would stand on nothing.
+    """
+    at = {"tx": F.floor(F.col("cx") / tile), "ty": F.floor(F.col("cy") / tile)}
+    loaded = ground.select(*[c.alias(k) for k, c in at.items()]).distinct() if loaded is None else loaded.select("tx", "ty").distinct()
+    roofs = roofs.withColumns(at).join(loaded, ["tx", "ty"], "left_semi").drop("tx", "ty")
     both = ground.withColumnRenamed("z", "g").join(roofs.withColumnRenamed("z", "r"), ["cx", "cy"], "full")
     return both.select("cx", "cy", F.greatest("g", "r").alias("z"), F.col("r").isNotNull().alias("roof"))
 

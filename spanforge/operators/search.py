@@ -12,7 +12,7 @@ from spanforge.operators import pairs, profile, raster, select, ways
 from spanforge.params import DEFAULTS, Params
 from spanforge.runtime import stage
 
-CROSSINGS = "array<struct<d:double,`from`:double,`to`:double,offset:double,kind:string,tier:string,carrier:double,onBridge:boolean>>"
+CROSSINGS = profile.NO_CROSSINGS
 
 
 @dataclass(frozen=True)
@@ -182,9 +182,16 @@ def plan(lines: DataFrame, scene: Scene, sag_ratio: float = DEFAULTS.sag_ratio,
     at = at.withColumn("h", h).withColumns({"h_a": F.col("h.h_a"), "h_b": F.col("h.h_b"), "off_level": F.col("h.off_level")}).drop("h")
     at = stage(at.join(_ground_series(at, scene, long), "id").where(~F.exists("ground", lambda g: g.isNull())), "planned")
     at = at.join(_surface_series(at, scene, long), "id")
+    if scene.ways is not None:
+        found = ways.crossings(at.select("id", "ae", "an", "be", "bn"), scene.ways, p, scene.ground, scene.surface)
+        listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "from", "to", "offset", "kind", "tier", "carrier", "onBridge"))).alias("crossings"))
+        at = at.join(listed, "id", "left").withColumn("crossings", F.coalesce("crossings", F.array().cast(CROSSINGS)))
+    else:
+        at = at.withColumn("crossings", F.array().cast(CROSSINGS))
+    at = stage(at, "planned")
     measured = profile.metrics(at, F.lit(sag_ratio), p).join(at, "id")
     rig = rig_cost(F.col("h_a") - F.col("ga"), F.col("roof_a"), F.greatest(F.lit(0.0), F.col("top_a") - F.col("ga")), p) + rig_cost(F.col("h_b") - F.col("gb"), F.col("roof_b"), F.greatest(F.lit(0.0), F.col("top_b") - F.col("gb")), p)
-    return measured.select("id", "ae", "an", "be", "bn", half_up(F.col("length"), 1).alias("length"), "h_a", "h_b", "off_level", "exposure", "clearance_min", "margin", "blocked", (profile.score(p) - rig).alias("score"), profile.violations(p).alias("violations"))
+    return measured.select("id", "ae", "an", "be", "bn", half_up(F.col("length"), 1).alias("length"), "h_a", "h_b", "off_level", "exposure", "clearance_min", "margin", "blocked", (profile.score(p) - rig).alias("score"), profile.violations(p, F.col("crossings")).alias("violations"))
 
 
 def hexagon(rings: int = 3) -> list[tuple[float, float]]:
@@ -193,12 +200,13 @@ def hexagon(rings: int = 3) -> list[tuple[float, float]]:
     return sorted((r for r in rows if r != (0, 0)), key=lambda r: r[0] ** 2 + r[1] ** 2)
 
 
-def optimise(lines: DataFrame, scene: Scene, reach: float = 10.0, spacing: float = 1.0, finest: float = 0.25, p: Params = DEFAULTS, steps: int = 8) -> DataFrame:
+def optimise(lines: DataFrame, scene: Scene, reach: float = 10.0, spacing: float = 1.0, finest: float = 0.01, p: Params = DEFAULTS) -> DataFrame:
     """Planned lines moved, end by end, toward fewer broken rules and then higher scores, never over `reach` from where
-    they began; the patch of places looked at is halved where nothing gains, down to `finest`. All lines move together."""
+    they began; the patch of places looked at is halved where nothing gains, and the search ends where the patch of `finest`
+    gains nothing. All lines move together, and one that has settled stays where it is: moves must be strictly better."""
     origin = [F.col(c).alias(f"o{c}") for c in ("ae", "an", "be", "bn")]
     at = stage(lines.select("id", "ae", "an", "be", "bn", *origin), "optimised")
-    for _ in range(steps):
+    while True:
         gained = False
         for end, other in ("ab", "ba"):
             moves = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e * spacing).alias("de"), F.lit(n * spacing).alias("dn")) for k, (e, n) in enumerate([(0.0, 0.0), *hexagon()])])
@@ -208,7 +216,8 @@ def optimise(lines: DataFrame, scene: Scene, reach: float = 10.0, spacing: float
             tries = stage(tries, "places")
             ranked = plan(tries.select("id", "ae", "an", "be", "bn"), scene, p.sag_ratio, p).select("id", F.size("violations").alias("broken"), "score").join(tries, "id")
             best = ranked.groupBy("of").agg(F.min_by(F.struct("k", "ae", "an", "be", "bn"), F.struct("broken", -F.col("score"), F.col("k"))).alias("to")).withColumnRenamed("of", "id")
-            moved = stage(at.drop("ae", "an", "be", "bn").join(best, "id").select("id", "oae", "oan", "obe", "obn", "to.ae", "to.an", "to.be", "to.bn", (F.col("to.k") > 0).alias("moved")), "optimised")
+            there = [F.coalesce(F.col(f"to.{c}"), F.col(c)).alias(c) for c in ("ae", "an", "be", "bn")]
+            moved = stage(at.join(best, "id", "left").select("id", "oae", "oan", "obe", "obn", *there, F.coalesce(F.col("to.k") > 0, F.lit(False)).alias("moved")), "optimised")
             gained = gained or not moved.where("moved").isEmpty()
             at = moved.drop("moved")
         if not gained:

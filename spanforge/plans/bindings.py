@@ -15,11 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strip that grows with the parts: a few rows a cell at any scale, so that neighbours differ."""
     lines = table(spark, sf_dir, "lineitem")
-    return raster.blit_max(lines, F.col("l_partkey") % 64, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64, F.col("l_quantity"))
+    return raster.blit_max(lines, F.floor(F.col("l_partkey") / 8), (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64, F.col("l_quantity"))
 
 
-CELLS = """cells AS (SELECT l_partkey % 64 AS cx, (l_suppkey * 7 + l_linenumber) % 64 AS cy, max(l_quantity) AS z FROM lineitem GROUP BY 1, 2)"""
+CELLS = """cells AS (SELECT l_partkey // 8 AS cx, (l_suppkey * 7 + l_linenumber) % 64 AS cy, max(l_quantity) AS z FROM lineitem GROUP BY 1, 2)"""
+
+
+def terraces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of 64 x 64 terraces, most of them low: ground to span. Sums are spread evenly at any scale."""
+    at = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 64).alias("cx"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 64).alias("cy"), "l_orderkey")
+    total = F.sum("l_orderkey") % 60
+    return at.groupBy("cx", "cy").agg(F.when(total >= 40, F.lit(50.0) + total % 2).otherwise((total % 20).cast("double")).alias("z"))
+
+
+TERRACES = """terraces AS (SELECT l_partkey % 64 AS cx, (l_suppkey * 7 + l_linenumber) % 64 AS cy, CASE WHEN sum(l_orderkey) % 60 >= 40 THEN 50.0::DOUBLE + sum(l_orderkey) % 60 % 2 ELSE CAST(sum(l_orderkey) % 60 % 20 AS DOUBLE) END AS z
+    FROM lineitem GROUP BY 1, 2)"""
 
 
 def roofs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as fn
@@ -73,25 +73,25 @@ def raster_unpack(spark, sf):
     return raster.unpack(raster.pack(b.cells(spark, sf)))
 
 
-@query(f"WITH {LOW} SELECT cx // 16 AS tx, cy // 16 AS ty, count(*) AS seen, count(*) FILTER (z - low >= 45) AS passed FROM low GROUP BY 1, 2")
+@query(f"WITH {LOW} SELECT cx // 16 AS tx, cy // 16 AS ty, count(*) AS seen, count(*) FILTER (z - low >= 30.5) AS passed FROM low GROUP BY 1, 2")
 def tile_passes(spark, sf):
-    return raster.tile_passes(raster.drop_field(b.cells(spark, sf), 2), 16, 45)
+    return raster.tile_passes(raster.drop_field(b.cells(spark, sf), 2), 16, 30.5)
 
 
-@query(f"WITH {LOW}, t AS (SELECT cx // 16 AS tx, cy // 16 AS ty, count(*) AS seen, count(*) FILTER (z - low >= 45) AS passed FROM low GROUP BY 1, 2) SELECT *, passed >= 2.56 AS pass FROM t WHERE seen * 2 >= 256")
+@query(f"WITH {LOW}, t AS (SELECT cx // 16 AS tx, cy // 16 AS ty, count(*) AS seen, count(*) FILTER (z - low >= 30.5) AS passed FROM low GROUP BY 1, 2) SELECT *, passed >= 2.56 AS pass FROM t WHERE seen * 2 >= 256")
 def tile_verdicts(spark, sf):
-    return raster.tile_verdicts(raster.drop_field(b.cells(spark, sf), 2), 16, 45)
+    return raster.tile_verdicts(raster.drop_field(b.cells(spark, sf), 2), 16, 30.5)
 
 
 @query(
-    f"""WITH {LOW}, high AS (SELECT cx, cy, cx // 16 AS tx, cy // 16 AS ty FROM low WHERE z - low >= 45),
+    f"""WITH {LOW}, high AS (SELECT cx, cy, cx // 16 AS tx, cy // 16 AS ty FROM low WHERE z - low >= 30.5),
     enough AS (SELECT tx, ty FROM high GROUP BY 1, 2 HAVING count(*) >= 2.56)
     SELECT DISTINCT g.x AS tx, h.y AS ty FROM (SELECT high.* FROM high JOIN enough USING (tx, ty)) p,
     LATERAL (SELECT unnest(range(CAST(floor((p.cx - 3) / 16.0) AS BIGINT), CAST(floor((p.cx + 3) / 16.0) AS BIGINT) + 1)) AS x) g,
     LATERAL (SELECT unnest(range(CAST(floor((p.cy - 3) / 16.0) AS BIGINT), CAST(floor((p.cy + 3) / 16.0) AS BIGINT) + 1)) AS y) h"""
 )
 def tiles_worth_loading(spark, sf):
-    return raster.tiles_worth_loading(raster.drop_field(b.cells(spark, sf), 2), 16, 45, 3)
+    return raster.tiles_worth_loading(raster.drop_field(b.cells(spark, sf), 2), 16, 30.5, 3)
 
 
 @query(
@@ -104,9 +104,13 @@ def roof_tiles(spark, sf):
     return raster.roof_tiles(roofs, b.cells(spark, sf), 8)
 
 
-@query(f"WITH {b.CELLS}, {b.ROOFS} SELECT coalesce(c.cx, r.cx) AS cx, coalesce(c.cy, r.cy) AS cy, greatest(c.z, r.z) AS z, r.z IS NOT NULL AS roof FROM cells c FULL JOIN roofs r ON c.cx = r.cx AND c.cy = r.cy")
+@query(
+    f"""WITH {b.CELLS}, {b.ROOFS}, held AS (SELECT * FROM cells WHERE cx % 48 < 40), loaded AS (SELECT DISTINCT cx // 16 AS tx, cy // 16 AS ty FROM held), on_ AS (SELECT r.* FROM roofs r SEMI JOIN loaded l ON l.tx = r.cx // 16 AND l.ty = r.cy // 16)
+    SELECT coalesce(c.cx, r.cx) AS cx, coalesce(c.cy, r.cy) AS cy, greatest(c.z, r.z) AS z, r.z IS NOT NULL AS roof FROM held c FULL JOIN on_ r ON c.cx = r.cx AND c.cy = r.cy"""
+)
 def raise_onto_buildings(spark, sf):
-    return raster.raise_onto(b.cells(spark, sf), b.roofs(spark, sf))
+    """Ground with gaps between its loaded stretches: a roof over what was not loaded is left out."""
+    return raster.raise_onto(b.cells(spark, sf).where("cx % 48 < 40"), b.roofs(spark, sf), tile=16)
 
 
 @query(f"WITH {b.CELLS}, {b.POINTS} SELECT p.id, c.z FROM points p LEFT JOIN cells c ON c.cx = floor(p.e / 16) AND c.cy = floor(p.n / 16)")
@@ -202,21 +206,68 @@ def reject_histogram(spark, sf):
     return profile.metrics(b.profiles(spark, sf)).groupBy(F.coalesce(profile.rejection(), F.lit("none")).alias("reject")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _rated(sag: str, prof: str = AT) -> str:
+    """Metrics, penalty and score of the stored profiles at a sag, from the definitions."""
+    return prof.replace("0.05::DOUBLE * length * 4.0", f"{sag}::DOUBLE * length * 4.0") + """,
+weighed AS (SELECT id, sum(CASE WHEN NOT zone THEN c END) AS w, sum(CASE WHEN NOT zone THEN c * greatest(0.0::DOUBLE, 3.0::DOUBLE - (line - g)) END) AS deficit, sum(CASE WHEN zone THEN c END) AS zw,
+    sum(CASE WHEN zone THEN c * greatest(0.0::DOUBLE, -(line - g)) END) AS zdeficit FROM (SELECT *, least(d, length - d) / (length / 2) AS c FROM marked) GROUP BY id),
+known AS (SELECT met.*, length * 0.03::DOUBLE AS budget, CASE WHEN w > 0 THEN deficit / w ELSE 0.0::DOUBLE END AS deficit, CASE WHEN zw > 0 THEN zdeficit / zw ELSE 0.0::DOUBLE END AS zone_deficit FROM met JOIN weighed USING (id)),
+fined AS (SELECT *, CASE WHEN deficit > 0 THEN 40.0::DOUBLE * deficit / 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN 10 - exposure > 0 THEN 20.0::DOUBLE * (10 - exposure) / 10.0::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN blocked - 0.8::DOUBLE > 0 THEN 20.0::DOUBLE * (blocked - 0.8::DOUBLE) / 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN off_level - budget > 0 THEN 20.0::DOUBLE * (off_level - budget) / budget ELSE 0.0::DOUBLE END
+    + CASE WHEN 50 - length > 0 THEN 20.0::DOUBLE * (50 - length) / 50.0::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM known),
+rated AS (SELECT *, (least(1.0::DOUBLE, greatest(0.0::DOUBLE, log10(greatest(exposure, 1.0::DOUBLE) / 5) / log10(40.0::DOUBLE))) * 0.3::DOUBLE + least(1.0::DOUBLE, length / 500) * 0.15::DOUBLE + (1.0::DOUBLE - blocked) * 0.35::DOUBLE
+    + least(1.0::DOUBLE, greatest(0.0::DOUBLE, margin / 10)) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1.0::DOUBLE - zone_deficit / 3.0::DOUBLE)) * 0.05::DOUBLE
+    + least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1.0::DOUBLE - off_level / budget)) * 0.15::DOUBLE) * 100 - penalty AS score FROM fined)"""
+
+
+def _round(x: str, digits: int) -> str:
+    return f"floor({x} * {10.0**digits}::DOUBLE + 0.5::DOUBLE) / {10.0**digits}::DOUBLE"
+
+
+@query(f"WITH {_rated('0.05')} SELECT id, {_round('score', 1)} AS score, {_round('penalty', 4)} AS penalty FROM rated")
 def profile_scores(spark, sf):
     spans = b.profiles(spark, sf)
     measured = profile.metrics(spans).join(spans.select("id", "length", "off_level"), "id")
     return measured.select("id", fn.half_up(profile.score(), 1).alias("score"), fn.half_up(profile.penalty(), 4).alias("penalty"))
 
 
-@query()
+@query(f"WITH {_rated('0.08')} SELECT id, {_round('score', 1)} AS score, {_round('penalty', 4)} AS penalty, exposure, clearance_min, samples FROM rated")
+def rescored_for_display(spark, sf):
+    return profile.rescored(b.profiles(spark, sf), 0.08).select("id", fn.half_up("score", 1).alias("score"), fn.half_up("penalty", 4).alias("penalty"), "exposure", "clearance_min", "samples")
+
+
+@query(
+    f"""WITH {AT}, r AS (SELECT *, length * 0.03::DOUBLE AS budget FROM met)
+    SELECT id, 'buried' AS rule, {_round('clearance_min', 2)} AS value, 3.0::DOUBLE AS "limit", margin_at AS at, 'ground' AS what FROM r WHERE margin < 0 AND clearance_min < 0
+    UNION ALL SELECT id, 'clearance', {_round('(margin + 3.0::DOUBLE)', 2)}, 3.0::DOUBLE, margin_at, 'ground' FROM r WHERE margin < 0 AND clearance_min >= 0
+    UNION ALL SELECT id, 'exposure', {_round('exposure', 2)}, 10.0::DOUBLE, NULL, NULL FROM r WHERE exposure < 10
+    UNION ALL SELECT id, 'canopy', {_round('blocked', 2)}, 0.8::DOUBLE, NULL, NULL FROM r WHERE blocked > 0.8::DOUBLE
+    UNION ALL SELECT id, 'offlevel', {_round('off_level', 2)}, {_round('budget', 2)}, NULL, NULL FROM r WHERE off_level > budget"""
+)
 def profile_violations(spark, sf):
     spans = b.profiles(spark, sf)
     measured = profile.metrics(spans).join(spans.select("id", "length", "off_level"), "id")
-    return measured.select("id", F.concat_ws("; ", profile.violations()).alias("violations"))
+    return measured.select("id", F.explode(profile.violations()).alias("v")).select("id", "v.rule", fn.half_up(F.col("v.value"), 2).alias("value"), fn.half_up(F.col("v.limit"), 2).alias("limit"), "v.at", "v.what")
 
 
-@query()
+def _bisected(steps: int = 12) -> str:
+    """The gates at both ends and at each middle, one after another."""
+    prof, rest = AT.split("sagged AS", 1)
+    gates = "margin IS NOT NULL AND margin >= 0 AND exposure >= 10 AND blocked <= 0.8::DOUBLE"
+
+    def tried(k: str, state: str, sag: str) -> str:
+        chain = "s_AS" + rest.replace("0.05::DOUBLE * length", "sag * length").replace("FROM prof)", f"FROM (SELECT prof.*, {sag} AS sag FROM prof JOIN {state} USING (id)))")
+        chain = chain.removeprefix("s_AS").replace("FROM sagged", f"FROM sagged{k}").replace("marked AS", f"marked{k} AS").replace("FROM marked", f"FROM marked{k}").replace("met AS", f"met{k} AS MATERIALIZED")
+        return f"sagged{k} AS{chain}"
+
+    out = prof.replace("prof AS", "prof AS MATERIALIZED") + "t0 AS MATERIALIZED (SELECT DISTINCT id, 0.0::DOUBLE AS lo, 0.25::DOUBLE AS hi FROM prof), " + tried("a", "t0", "lo") + ", " + tried("b", "t0", "hi")
+    for k in range(steps):
+        out += f", {tried(str(k), f't{k}', '(lo + hi) / 2')}, t{k + 1} AS MATERIALIZED (SELECT t.id, CASE WHEN coalesce({gates}, false) THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN coalesce({gates}, false) THEN hi ELSE (lo + hi) / 2 END AS hi FROM t{k} t LEFT JOIN met{k} m USING (id))"
+    ends = [f"coalesce((SELECT {gates} FROM met{x} m WHERE m.id = t.id), false)" for x in "ab"]
+    return f"WITH {out} SELECT id, CASE WHEN NOT {ends[0]} THEN 0.0::DOUBLE WHEN {ends[1]} THEN 0.25::DOUBLE ELSE {_round('lo', 4)} END AS max_sag FROM t{steps} t"
+
+
+@query(_bisected())
 def max_feasible_sag(spark, sf):
     return profile.max_sag(b.profiles(spark, sf))
 
@@ -231,15 +282,13 @@ def span_stations(spark, sf):
 
 @query()
 def span_profiles(spark, sf):
-    cells = b.cells(spark, sf)
-    wide = cells.select((F.col("cx") * 16 + 8).alias("cx"), (F.col("cy") * 16 + 8).alias("cy"), "z").select(F.explode(F.sequence(F.col("cx") - 8, F.col("cx") + 7)).alias("cx"), "cy", "z").select("cx", F.explode(F.sequence(F.col("cy") - 8, F.col("cy") + 7)).alias("cy"), "z")
-    return profile.gather(profile.band_max(profile.stations(b.spans(spark, sf)), wide)).select("id", F.size("ground").alias("n"), F.array_min("ground").alias("low"), F.array_max("ground_max").alias("high"))
+    return profile.gather(profile.band_max(profile.stations(b.spans(spark, sf)), _terrain(spark, sf))).select("id", F.size("ground").alias("n"), F.array_min("ground").alias("low"), F.array_max("ground_max").alias("high"))
 
 
 def _terrain(spark, sf):
     """Cells of 1 m: each of the bound cells is a terrace of 16 m, as high as its value."""
     side = F.sequence(F.lit(0), F.lit(15))
-    wide = b.cells(spark, sf).withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
+    wide = b.terraces(spark, sf).withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
     return wide.select((F.col("cx") * 16 + F.col("i")).alias("cx"), (F.col("cy") * 16 + F.col("j")).alias("cy"), "z")
 
 
@@ -322,14 +371,23 @@ def thin_crossings(spark, sf):
     return select.thin(b.lines(spark, sf), p=replace(DEFAULTS, max_crossings=3, keep_best=20)).select("id", "region", "score")
 
 
-@query(f"WITH {b.LINES} SELECT id, floor(ae * 10 + 0.5) / 10 AS ae, floor(an * 10 + 0.5) / 10 AS an, floor(be * 10 + 0.5) / 10 AS be, floor(bn * 10 + 0.5) / 10 AS bn, length, score FROM lines")
+def _grid(spark, sf):
+    """Lines moved to where the projection is meant, with parts of the score."""
+    moved = b.lines(spark, sf).withColumns({c: F.col(c) + (350000.0 if c[1] == "e" else 5700000.0) for c in ("ae", "an", "be", "bn")})
+    return moved.select("id", "kind", "score", "length", "ae", "an", "be", "bn", (F.col("score") / 7).alias("part_exposure"), (F.col("blocked") / 3).alias("part_canopy"))
+
+
+@query()
 def shipped_rows(spark, sf):
-    return dataset.shipped(b.lines(spark, sf))
+    return dataset.shipped(_grid(spark, sf)).drop("ae", "an", "be", "bn")
 
 
 @query()
 def geojson_features(spark, sf):
-    return dataset.geojson(b.lines(spark, sf))
+    """The features read back as numbers."""
+    read = "struct<type:string,id:long,properties:struct<cid:long,score:double,length:double>,geometry:struct<type:string,coordinates:array<array<double>>>>"
+    f = dataset.geojson(_grid(spark, sf)).select(F.from_json("feature", read).alias("f")).select("f.*")
+    return f.select("type", "id", "properties.*", F.col("geometry.type").alias("shape"), *[F.round(F.get(F.get("geometry.coordinates", F.lit(i)), F.lit(j)), 7).alias(n) for i, j, n in ((0, 0, "a_lon"), (0, 1, "a_lat"), (1, 0, "b_lon"), (1, 1, "b_lat"))])
 
 
 @query(f"WITH {b.LINES} SELECT kind, count(*) AS n, median(score / 50) AS median, count(*) FILTER (abs(score / 50 - 1) <= 0.1::DOUBLE) AS within_10, count(*) FILTER (abs(score / 50 - 1) <= 0.25::DOUBLE) AS within_25 FROM lines GROUP BY kind")
@@ -391,7 +449,10 @@ def open_sectors(spark, sf):
     return b.points(spark, sf).select("id", F.bit_count("open").cast("long").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {b.POINTS}, bits AS (SELECT id, open, i FROM points, (SELECT unnest(range(0, 64)) AS i) u WHERE (open >> CAST(i AS INT)) & 1 = 1 AND (open >> CAST((i + 63) % 64 AS INT)) & 1 = 0)
+    SELECT id, CAST(i AS INT) AS start, CAST(min(k) AS INT) AS n FROM bits, (SELECT unnest(range(1, 64)) AS k) v WHERE (open >> CAST((i + k) % 64 AS INT)) & 1 = 0 GROUP BY id, i"""
+)
 def bearing_ranges(spark, sf):
     return b.points(spark, sf).select("id", F.explode(series.circular_runs(F.col("open"))).alias("run")).select("id", "run.start", "run.n")
 
@@ -462,12 +523,19 @@ def _rings(spark, sf):
     return b.table(spark, sf, "supplier").select(k.alias("id"), F.when(k % 5 == 0, "island").otherwise("water").alias("kind"), ring.alias("ring"))
 
 
-@query()
+RINGS = """rings AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'island' ELSE 'water' END AS kind, k, CAST(s_suppkey * 7907 % 211 AS DOUBLE) + (s_suppkey % 9 + 3) * [0, 2, 1.25, 2, 0.25][k + 1]::DOUBLE AS x, CAST(s_suppkey * 104723 % 197 AS DOUBLE) + (s_suppkey % 9 + 3) * [0, 0.25, 1, 2, 1.75][k + 1]::DOUBLE AS y
+    FROM supplier, (VALUES (0), (1), (2), (3), (4)) AS v(k)), edges AS (SELECT a.id, a.kind, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM rings a JOIN rings b ON a.id = b.id AND b.k = (a.k + 4) % 5),
+cut AS (SELECT id, kind, cy, x0 + (cy + 0.5::DOUBLE - y0) / (y1 - y0) * (x1 - x0) AS x FROM edges, LATERAL (SELECT unnest(range(CAST(ceil(least(y0, y1) - 0.5) AS BIGINT), CAST(ceil(greatest(y0, y1) - 0.5) AS BIGINT))) AS cy) u WHERE y0 <> y1),
+paired AS (SELECT id, kind, cy, x AS a, lead(x) OVER w AS b, row_number() OVER w AS rn FROM cut WINDOW w AS (PARTITION BY id, cy ORDER BY x)),
+filled AS (SELECT DISTINCT id, kind, cx, cy FROM paired, LATERAL (SELECT unnest(range(CAST(ceil(a - 0.5) AS BIGINT), CAST(floor(b - 0.5) AS BIGINT) + 1)) AS cx) u WHERE rn % 2 = 1)"""
+
+
+@query(f"WITH {RINGS} SELECT id, cx, cy FROM filled")
 def polygon_cells(spark, sf):
     return ways.fill(_rings(spark, sf))
 
 
-@query()
+@query(f"WITH {RINGS} SELECT DISTINCT cx, cy FROM filled f WHERE kind = 'water' AND NOT EXISTS (SELECT 1 FROM filled i WHERE i.kind = 'island' AND i.cx = f.cx AND i.cy = f.cy)")
 def water_cells(spark, sf):
     return ways.water_mask(_rings(spark, sf))
 
@@ -575,7 +643,7 @@ def areas_and_cache(spark, sf):
 
 @query(f"WITH {b.POINTS} SELECT id, row_number() OVER (ORDER BY n, e, id) AS rank FROM points")
 def anchors_in_order(spark, sf):
-    return b.points(spark, sf).select("id", F.row_number().over(Window.orderBy("n", "e", "id")).cast("long").alias("rank"))
+    return dataset.ranked(b.points(spark, sf), [F.col("n"), F.col("e"), F.col("id")], "rank", 1).select("id", "rank")
 
 
 @query(f"WITH {b.LINES} SELECT region, 'region_' || substr(sha1(CAST(region AS VARCHAR)), 1, 16) AS name, count(*) AS n FROM lines GROUP BY 1, 2")
@@ -589,12 +657,38 @@ def ground_metres(spark, sf):
     return b.points(spark, sf).select("id", F.floor(d * 1000 + 0.5).cast("double").alias("mm"))
 
 
-@query()
+def _lat_lon(e: str, north: str) -> tuple[str, str]:
+    """Latitude and longitude by the same series of the third order, in SQL."""
+    n, radius, _, back = fn._third_flattening()
+    m = fn.CENTRAL_SCALE * radius
+    xi, eta = f"(({north}) / {m!r}::DOUBLE)", f"((({e}) - 500000.0::DOUBLE) / {m!r}::DOUBLE)"
+    x = xi + "".join(f" - sin({xi} * {2 * j}) * cosh({eta} * {2 * j}) * {b!r}::DOUBLE" for j, b in enumerate(back, 1))
+    y = eta + "".join(f" - cos({xi} * {2 * j}) * sinh({eta} * {2 * j}) * {b!r}::DOUBLE" for j, b in enumerate(back, 1))
+    chi = f"asin(sin({x}) / cosh({y}))"
+    series = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    lat = f"degrees({chi}" + "".join(f" + sin({chi} * {2 * j}) * {c!r}::DOUBLE" for j, c in enumerate(series, 1)) + ")"
+    return lat, f"degrees(atan2(sinh({y}), cos({x}))) + 15.0::DOUBLE"
+
+
+_AT = _lat_lon("e * 100 + 350000", "n * 100 + 5700000")
+
+
+@query(f"WITH {b.POINTS} SELECT id, round({_AT[0]}, 7) AS lat, round({_AT[1]}, 7) AS lon FROM points")
 def wgs84_points(spark, sf):
     grid = b.points(spark, sf).select("id", fn.to_wgs84(F.col("e") * 100 + 350000, F.col("n") * 100 + 5700000).alias("p"))
     return grid.select("id", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"))
 
 
+_A, _B = _lat_lon("ae + 350000.0::DOUBLE", "an + 5700000.0::DOUBLE"), _lat_lon("be + 350000.0::DOUBLE", "bn + 5700000.0::DOUBLE")
+SQL["shipped_rows"] = f"""WITH {b.LINES} SELECT id, score, length, {_round('(score / 7)', 3)} AS part_exposure, {_round('(blocked / 3)', 3)} AS part_canopy, {_round(f'({_A[1]})', 7)} AS a_lon, {_round(f'({_A[0]})', 7)} AS a_lat, {_round(f'({_B[1]})', 7)} AS b_lon, {_round(f'({_B[0]})', 7)} AS b_lat FROM lines"""
+SQL["geojson_features"] = f"""WITH {b.LINES} SELECT 'Feature' AS type, row_number() OVER (ORDER BY score DESC, id) - 1 AS id, id AS cid, score, length, 'LineString' AS shape, round({_A[1]}, 7) AS a_lon, round({_A[0]}, 7) AS a_lat, round({_B[1]}, 7) AS b_lon, round({_B[0]}, 7) AS b_lat FROM lines"""
+
+
+@query(f"WITH {b.POINTS} SELECT id, list_reduce(list_transform(range(0, 16), lambda k: lower(to_hex((open >> CAST(4 * k AS INT)) & 15))), lambda x, y: x || y) AS sectors FROM points")
+def sector_hex(spark, sf):
+    return b.points(spark, sf).select("id", fn.sector_hex(F.col("open")).alias("sectors"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, their drops, end points on steep ones, pairs of them within reach, levelled, the longest first."""
     steep = raster.drop_field(b.cells(spark, sf_dir), 2).where(F.col("drop") >= 40)
