@@ -106,3 +106,26 @@ def test_packing_drops_what_says_nothing(spark, band):
     packed = profile.pack(df).first()
     assert (packed["ground_max"] is None) == (band == [1.0, 2.0]) and packed["needed"] is None
     assert profile.unpack(profile.pack(df), 0.05).orderBy("i").select("ground_max", "needed").collect() == [(band[0], 3.0), (band[1], 3.0)]
+
+
+def test_the_loosest_sag_over_ways_is_that_of_the_gates(spark):
+    kinds = "id long, ground array<double>, surface array<double>, length double, h_a double, h_b double, off_level double, crossings " + profile.NO_CROSSINGS
+    rim = [50.0] + [20.0] * 39 + [50.0]
+
+    def over(carrier, tier="street", bridge=False):
+        return [{"d": 100.0, "from": 95.0, "to": 130.0, "offset": 0.0, "kind": "x", "tier": tier, "carrier": carrier, "onBridge": bridge}]
+
+    rows = [(1, rim, None, over(33.0)), (2, rim, None, over(None)), (3, rim, [60.0] + [35.0] * 39 + [60.0], over(None, "highway", True)), (4, rim, None, []), (5, rim, None, over(48.0)), (6, [50.0, None, 20.0, None, 50.0], None, over(None))]
+    df = spark.createDataFrame([(i, g, s, 200.0, 50.0, 49.0, 1.0, x) for i, g, s, x in rows], kinds)
+    got = {r["id"]: r["max_sag"] for r in profile.max_sag(df).collect()}
+
+    def passes(ratio):
+        measured = profile.metrics(df, F.lit(ratio)).join(df.select("id", "length", "off_level"), "id")
+        return {r["id"] for r in measured.where(profile.rejection().isNull()).select("id").collect()}
+
+    below = {s: passes(s) for s in (0.0, 0.02, 0.04, 0.05, 0.06, 0.08, 0.1, 0.13, 0.2)}
+    for i, most in got.items():
+        for s, ok in below.items():
+            if abs(s - most) > 2e-4:
+                assert (i in ok) == (s < most), (i, most, s)
+    assert got[5] == 0 and got[1] < got[2] <= got[4] and got[3] < got[4]
