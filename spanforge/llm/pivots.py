@@ -21,7 +21,9 @@ from spanforge.runtime import attach, stage
 THRESHOLD = 0.98
 #: Nearest pivots that describe a vector, pivots at least and at most (about the root of the number of vectors between).
 NEAREST = 8
-LEAST, MOST = 32, 1024
+LEAST, MOST = 32, 4096
+#: Vectors held against all pivots at a time.
+TOGETHER = 512
 #: Vectors looked at for each pivot, and the cosine from which one is too near to another pivot to be one as well.
 SAMPLED = 4
 APART = 0.9
@@ -89,9 +91,11 @@ def describe(nodes: DataFrame, points: dict[int, np.ndarray], nearest: int = NEA
             for dim, p in points.items():
                 mine = [i for i, r in enumerate(rows) if len(r) == dim]
                 if mine:
-                    order = np.argsort(-(unit(np.stack([rows[i] for i in mine])) @ p.T), axis=1, kind="stable")[:, :nearest]
-                    for i, o in zip(mine, order.tolist(), strict=True):
-                        near[i] = o
+                    for a in range(0, len(mine), TOGETHER):
+                        part = mine[a : a + TOGETHER]
+                        order = np.argsort(-(unit(np.stack([rows[i] for i in part])) @ p.T), axis=1, kind="stable")[:, :nearest]
+                        for i, o in zip(part, order.tolist(), strict=True):
+                            near[i] = o
             # a dimension without a pivot of its own: one list for all of its vectors
             near = [n if len(n) > 1 else [0, 1] for n in near]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], names=[*b.schema.names, "near"])
