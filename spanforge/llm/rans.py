@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -197,7 +198,8 @@ class Block:
 
 def tokenize(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """doc_id, n and ids (binary, little-endian, 16 bits where the vocabulary allows) with the end id; and in some rows
-    counts: pairs of (id, occurrences) as 64-bit integers, which over all rows add up to those of all ids."""
+    counts: pairs of (id, occurrences) as 64-bit integers, which over all rows add up to those of all ids. mark is a hash of
+    the ids, by which rows of one doc_id are told apart and dealt without reading their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, False)
@@ -209,10 +211,12 @@ def tokenize(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, en
             counts = [np.stack([some, n[some]]).astype("<i8").tobytes()] + [None] * (len(sizes) - 1)
             at = np.concatenate([[0], np.cumsum(sizes + 1)]) * ids.itemsize
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1), data, pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
+            whole, ends = memoryview(ids).cast("B"), at.tolist()
+            mark = np.fromiter((xxhash.xxh64_intdigest(whole[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint64, len(sizes)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1), data, pa.array(counts, pa.binary()), pa.array(mark)], names=["doc_id", "n", "ids", "counts", "mark"])
 
     kind = id_kind(docs)
-    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, counts binary")
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(f"`{text}`")).mapInArrow(run, f"doc_id {kind}, n long, ids binary, counts binary, mark long")
 
 
 def id_kind(docs: DataFrame) -> str:
@@ -277,7 +281,8 @@ def write(docs: DataFrame, path: str, text: str = "text", tokenizer: str = TOKEN
             yield flush()
 
     shards = max(1, -(-size // shard_ids))
-    dealt = tokens.select("doc_id", "ids").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    dealt = tokens.select("doc_id", "mark", "ids").repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     dealt.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     drop_staged(tokens)
 

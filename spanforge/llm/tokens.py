@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,7 @@ class Encoder:
         self.blanks = blanks
         #: strings that the library takes out of a text before anything else
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opening = os.path.commonprefix(self.special)
         names = self.tokenizer.get_vocab()
         #: bytes that each id stands for; byte-level vocabularies write one letter a byte, and one kind marks ends of words
         self.bytes = np.zeros(max(names.values()) + 1, np.int32)
@@ -162,7 +163,7 @@ class Encoder:
 
     def _encode(self, units: list[str], firsts: list[str]) -> np.ndarray:
         strings = [" " + u for u in units] if self.blanks else units
-        hard = [] if self.blanks else [k for k, s in enumerate(strings) if not _EASY.fullmatch(s)]
+        hard = [] if self.blanks else [k for k, s in enumerate(strings) if not (s.isascii() and s.isprintable()) and not _EASY.fullmatch(s)]
         odd = set(hard)
         easy = [k for k in range(len(strings)) if k not in odd] if odd else range(len(strings))
         start = self.count
@@ -175,8 +176,10 @@ class Encoder:
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.count > CACHED:
             self._thin()
-        checks = [pc.match_substring(texts, s) for s in self.special]
-        checks += [pc.match_substring_regex(texts, _RUNS)] if self.blanks else []
+        checks = [pc.match_substring_regex(texts, _RUNS)] if self.blanks else []
+        # what all of them begin with is looked for first, in one pass
+        if self.special and (not self.opening or pc.any(pc.match_substring(texts, self.opening)).as_py()):
+            checks += [pc.match_substring(texts, s) for s in self.special]
         whole = reduce(pc.or_, checks) if checks else None
         odd = [i for i, x in enumerate(whole.to_pylist()) if x] if whole is not None and pc.any(whole).as_py() else []
         if odd:
@@ -192,9 +195,8 @@ class Encoder:
         if self.blanks:
             first = offsets[:-1][np.diff(offsets) > 0]
             firsts = [units[k] for k in index[first]]
-        where = list(map(self.known.get, units))
-        new = [k for k, w in enumerate(where) if w is None]
-        place = np.array([-1 if w is None else w for w in where], np.int32)
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int32, len(units))
+        new = np.flatnonzero(place < 0).tolist()
         self.again[place[place >= 0]] = True
         learnt = self._learn([units[k] for k in new], firsts)
         place[new] = learnt[: len(new)]
