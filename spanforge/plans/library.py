@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as fn
-from spanforge.operators import cover, dataset, openness, profile, regions, search, ways
+from spanforge.operators import cover, dataset, openness, profile, raster, regions, ways
 from spanforge.plans import bindings as b
 from spanforge.plans import etl
 from spanforge.plans.queries import LOW, RINGS, _rings, _terrain, query
@@ -132,8 +132,6 @@ def off_map(spark, sf):
 
 @query(f"WITH {LOW} SELECT cx // 2 AS lat, cy // 2 AS lon, max(z - low) AS drop FROM low GROUP BY 1, 2")
 def drop_mask(spark, sf):
-    from spanforge.operators import raster
-
     drops = raster.drop_field(b.cells(spark, sf), 2)
     return sinks.mask(drops.select(F.floor(F.col("cx") / 2).alias("lat"), F.floor(F.col("cy") / 2).alias("lon"), "drop"))
 
@@ -243,9 +241,3 @@ def anchors_off_roofs(spark, sf):
 def crossing_heights(spark, sf):
     """Ways under spans with the height at which they run, from the ground, and from the roofs for bridges."""
     return ways.crossings(b.spans(spark, sf), b.ways(spark, sf), ground=_terrain(spark, sf), surface=_terrain(spark, sf).withColumn("z", F.col("z") + 5))
-
-
-@query()
-def anchors_paired(spark, sf):
-    """The whole search: anchors from the ground, pairs of them, lines measured, near-duplicates out."""
-    return search.find_lines(openness.scan(_terrain(spark, sf)).where("open_count >= 40"), search.Scene(_terrain(spark, sf), ways=b.ways(spark, sf))).select("ae", "an", "be", "bn", "score")
