@@ -118,6 +118,17 @@ def by_rule(reasons: DataFrame, text: str) -> DataFrame:
     return reasons.groupBy(F.regexp_replace(text, r"\d+(\.\d+)?", "N").alias("rule")).agg(F.count("*").alias("n"))
 
 
+def mean_gain(refined: DataFrame) -> DataFrame:
+    """How many lines (score, refined) a refinement made better, and by how much on average; nought where none."""
+    gain = F.when(F.col("refined") > F.col("score"), F.col("refined") - F.col("score"))
+    return refined.agg(F.count(gain).alias("improved"), F.coalesce(F.avg(gain), F.lit(0.0)).alias("gain"))
+
+
+def mean_open(anchors: DataFrame, mask: str = "open") -> DataFrame:
+    """Anchors and the mean number of open sectors of their masks; nought where there are none."""
+    return anchors.agg(F.count("*").alias("anchors"), F.coalesce(F.avg(F.bit_count(mask)), F.lit(0.0)).alias("open_sectors"))
+
+
 def highest_per(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(value).alias(value))
 

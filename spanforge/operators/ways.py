@@ -275,11 +275,11 @@ def geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return at.where(F.size("at") == F.col("want")).select("id", F.transform("at", lambda x: F.struct(x["e"].alias("e"), x["n"].alias("n"))).alias("pts"))
 
 
-def stitch(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Rings (relation, ring) from member lines (relation, way, pts), joined end to end, either way round, within tolerance.
+def chains(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """Chains (relation, ring, closed) of member lines (relation, way, pts), joined end to end, either way round, within tolerance.
 
-    Open chains are dropped. A relation's members are joined one after another in the order of their ids, which no set
-    operation expresses; a relation's members are a bounded piece of one map feature.
+    A chain is closed if it ends where it begins and has more than three points. A relation's members are joined one after
+    another in the order of their ids, which no set operation expresses; they are a bounded piece of one map feature.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -288,7 +288,7 @@ def stitch(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
         def meet(a: tuple[float, float], b: tuple[float, float]) -> bool:
             return abs(a[0] - b[0]) <= tolerance and abs(a[1] - b[1]) <= tolerance
 
-        rings = []
+        found, closed = [], []
         while lines:
             chain = lines.pop(0)
             while not meet(chain[0], chain[-1]) or len(chain) < 4:
@@ -297,8 +297,18 @@ def stitch(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
                     break
                 more = lines.pop(nxt)
                 chain = chain + (more if meet(chain[-1], more[0]) else more[::-1])[1:]
-            if len(chain) > 3 and meet(chain[0], chain[-1]):
-                rings.append([{"e": e, "n": n} for e, n in chain])
-        return pd.DataFrame({"relation": [pdf["relation"].iloc[0]] * len(rings), "ring": pd.Series(rings, dtype=object)})
+            found.append([{"e": e, "n": n} for e, n in chain])
+            closed.append(len(chain) > 3 and meet(chain[0], chain[-1]))
+        return pd.DataFrame({"relation": [pdf["relation"].iloc[0]] * len(found), "ring": pd.Series(found, dtype=object), "closed": pd.Series(closed, dtype=bool)})
+
+    return members.groupBy("relation").applyInPandas(run, "relation long, ring array<struct<e:double,n:double>>, closed boolean")
+
+
+def stitch(members: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """Rings (relation, ring): the closed chains of member lines."""
+    return chains(members, tolerance).where("closed").drop("closed")
+
 
-    return members.groupBy("relation").applyInPandas(run, "relation long, ring array<struct<e:double,n:double>>")
+def unclosed(found: DataFrame) -> DataFrame:
+    """One row: chains that closed to rings, and those that did not and are left out."""
+    return found.agg(F.count_if("closed").alias("rings"), F.count_if(~F.col("closed")).alias("unclosed"))

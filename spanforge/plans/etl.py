@@ -11,19 +11,28 @@ from spanforge.runtime import stage
 from spanforge.sources.blocks import SIDE
 
 
-def features(nodes: DataFrame, lines: DataFrame, relations: DataFrame) -> DataFrame:
+#: Plausible places: south, west, north, east.
+BOUNDS = (45.0, 5.0, 60.0, 25.0)
+
+
+def features(nodes: DataFrame, lines: DataFrame, relations: DataFrame, bounds: tuple[float, float, float, float] = BOUNDS) -> DataFrame:
     """Features (id, kind, name, half, bridge, pts) of nodes (id, lat, lon), ways (id, refs, tags), relations (id, members, tags).
 
     Roads by class, water as areas or lines, water relations stitched to rings: inner ones are islands. Only nodes that kept
-    ways name are joined, and only members of kept relations are looked up among ways.
+    ways name are joined, and only members of kept relations are looked up among ways. A node that one of these uses and that
+    lies out of bounds is an error: the file was read wrong.
     """
     water = relations.withColumn("water", ways.water_kind(F.col("tags"))).where("water is not null")
     members = stage(water.select(F.col("id").alias("relation"), F.explode("members").alias("m")).where("m.type = 1").select("relation", F.col("m.ref").alias("id"), F.col("m.role").alias("role")), "members")
     classed = lines.withColumn("road", ways.classify_way(F.col("tags"))).withColumn("kept", ways.keep_way(F.col("tags")))
     part = members.select("id").distinct().withColumn("member", F.lit(True))
     wanted = stage(classed.join(part, "id", "left").where("kept is not null or member"), "wanted-ways")
-    placed = nodes.select("id", to_utm(F.col("lat"), F.col("lon")).alias("u")).select("id", "u.e", "u.n")
-    shapes = stage(ways.geometry(wanted.select("id", "refs"), placed), "shapes")
+    s, w, n, e = bounds
+    sound = F.col("lat").between(s, n) & F.col("lon").between(w, e)
+    placed = nodes.select("id", sound.alias("sound"), to_utm(F.col("lat"), F.col("lon")).alias("u")).select("id", F.when(F.col("sound"), F.col("u.e")).otherwise(F.lit(float("nan"))).alias("e"), "u.n")
+    found = ways.geometry(wanted.select("id", "refs"), placed)
+    outside = F.exists("pts", lambda p: F.isnan(p["e"]))
+    shapes = stage(found.withColumn("pts", F.when(outside, F.raise_error(F.concat(F.lit("a node out of bounds in way "), F.col("id").cast("string")))).otherwise(F.col("pts"))), "shapes")
     tag = F.coalesce(F.try_element_at("tags", F.lit("bridge")), F.lit("no"))
     own = wanted.where("kept is not null").join(shapes, "id").select(
         "id", F.coalesce("road.tier", "kept").alias("kind"), F.coalesce("road.kind", "kept").alias("name"), F.coalesce("road.half", F.lit(0.0)).alias("half"), ((tag != "no") & F.col("road").isNotNull()).alias("bridge"), "pts"

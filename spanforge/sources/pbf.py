@@ -124,10 +124,9 @@ def _pick(data: DataFrame, which: Callable[[tuple], pd.DataFrame], schema: str)
     return data.mapInPandas(run, schema)
 
 
-def nodes(data: DataFrame, bounds: tuple[float, float, float, float] = (45.0, 5.0, 60.0, 25.0)) -> DataFrame:
-    """(id, lat, lon) within plausible bounds (south, west, north, east)."""
-    s, w, n, e = bounds
-    return _pick(data, lambda b: b[0].astype({"id": "int64"}), "id long, lat double, lon double").where(f"lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e}")
+def nodes(data: DataFrame) -> DataFrame:
+    """(id, lat, lon) of all nodes; those that ways use are checked where their shapes are made (etl.features)."""
+    return _pick(data, lambda b: b[0].astype({"id": "int64"}), "id long, lat double, lon double")
 
 
 def ways(data: DataFrame) -> DataFrame:

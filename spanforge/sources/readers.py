@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,15 @@ from spanforge.operators.ways import classify_way, water_kind
 POINTS = "array<struct<e:double,n:double>>"
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, content) of binary files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+def files(spark: SparkSession, path: str, pattern: str = "*", optional: bool = False) -> DataFrame:
+    """(path, content) of binary files. Where they are optional, a path that is not there, or a file gone since it was listed, is as none."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("ignoreMissingFiles", str(optional).lower())
+    try:
+        return read.load(path).select("path", "content")
+    except AnalysisException as wrong:
+        if not optional or wrong.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, content binary")
 
 
 def level_faces(texts: DataFrame, text: str = "gml") -> DataFrame:
@@ -66,9 +74,69 @@ def read_geojson(spark: SparkSession, path: str, properties: str = "map<string,s
     return whole.select(F.explode("features").alias("f")).select("f.properties", F.get_json_object("f.geometry", "$.type").alias("type"), F.col("f.geometry").alias("geometry"))
 
 
-def known_lines(spark: SparkSession, path: str, country: str = "DE", kind: str = "h") -> DataFrame:
-    """Lines of an outside list, those of a country and kind."""
-    return read_geojson(spark, path).where((F.col("properties")["country"] == country) & (F.col("properties")["type"] == kind))
+def known_lines(spark: SparkSession, path: str, country: str = "DE", kind: str = "h", details: DataFrame | None = None) -> DataFrame:
+    """Lines of an outside list (properties id, c, lt), those of a country and kind; with details (id, ...) what is known of
+    each beside, null where there are none."""
+    mine = read_geojson(spark, path).where((F.col("properties")["c"] == country) & (F.col("properties")["lt"] == kind)).withColumn("id", F.col("properties")["id"])
+    return mine.join(details, "id", "left") if details is not None else mine
+
+
+def outlines(spark: SparkSession, path: str, wanted: int | None = None, land: int = 4) -> DataFrame:
+    """(name, lines): the land of named areas (properties gen, gf) as lists of points (e, n) in degrees. With `wanted`, any other
+    number of areas is an error: shares of lakes and seas bear the same names under other marks."""
+    held = read_geojson(spark, path).where(F.col("properties")["gf"] == str(land))
+    shape = F.get_json_object("geometry", "$.coordinates")
+    flat = F.when(F.col("type") == "Polygon", F.from_json(shape, "array<array<array<double>>>")).when(F.col("type") == "MultiPolygon", F.flatten(F.from_json(shape, "array<array<array<array<double>>>>"))).when(F.col("type") == "MultiLineString", F.from_json(shape, "array<array<array<double>>>"))
+    lines = F.transform(flat, lambda line: F.transform(line, lambda q: F.struct(F.get(q, F.lit(0)).alias("e"), F.get(q, F.lit(1)).alias("n"))))
+    found = held.select(F.col("properties")["gen"].alias("name"), lines.alias("lines"))
+    count = held.count() if wanted is not None else wanted
+    if count != wanted:
+        raise ValueError(f"{count} areas of land where {wanted} are expected")
+    return found
+
+
+def overlay(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an overlay's columns: a JSON object of equally long lists, one a column. Lists that differ in length are an error."""
+    kinds = spark.createDataFrame([], schema).schema
+    whole = spark.read.schema(", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in kinds)).json(path, multiLine=True)
+    same = F.array_min(F.array(*[F.size(f"`{f.name}`") for f in kinds])) == F.array_max(F.array(*[F.size(f"`{f.name}`") for f in kinds]))
+    rows = F.when(same, F.arrays_zip(*[F.col(f"`{f.name}`") for f in kinds])).otherwise(F.raise_error(F.lit("an overlay's lists differ in length")))
+    return whole.select(F.explode(rows).alias("x")).select(*[F.col(f"x.`{f.name}`") for f in kinds])
+
+
+def tiles_in_json(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """replies with content, the first raster of each JSON reply decoded, and error, what the service says where it has none."""
+    raster = "array<struct<Data:string>>"
+    body = F.from_json(F.col(reply), f"Attributes struct<RawTIFs:{raster},Error:struct<Detail:string>>")
+    data = F.get(body["Attributes"]["RawTIFs"], F.lit(0))["Data"]
+    error = F.when(data.isNull(), F.coalesce(body["Attributes"]["Error"]["Detail"], F.lit("holds nothing here")))
+    return replies.withColumn("content", F.unbase64(data)).withColumn("error", error).drop(reply)
+
+
+#: Where a raster may begin in a reply of several parts, and how much of it is looked at for a refusal.
+_BEGINS, _HEAD = 1 << 16, 2048
+
+
+def raster_in(reply: bytes) -> tuple[bytes | None, str | None]:
+    """(raster, None) of a reply in one or several parts, or (None, what the service says) where it declines."""
+    head = reply[:_HEAD].decode("utf-8", "replace")
+    if "ExceptionReport" in head or "ServiceException" in head:
+        said = re.search(r"<[^>]*Exception[^>]*>\s*([^<\s][^<]{0,159})", head)
+        return None, said[1].strip() if said else "refused, no reason given"
+    starts = [k for k in (reply.find(mark, 0, _BEGINS) for mark in (b"II*\0", b"MM\0*")) if k >= 0]
+    return (reply[min(starts) :], None) if starts else (None, "a reply without a raster")
+
+
+def rasters_in(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """replies with content (the raster in each) and error (why there is none); null replies have neither."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            got = [raster_in(bytes(x)) if x is not None else (None, None) for x in pdf[reply]]
+            yield pdf.drop(columns=[reply]).assign(content=pd.Series([g[0] for g in got], dtype=object, index=pdf.index), error=pd.Series([g[1] for g in got], dtype=object, index=pdf.index))
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in replies.schema if f.name != reply)
+    return replies.mapInPandas(run, ", ".join(x for x in (kept, "content binary, error string") if x))
 
 
 def read_poly(spark: SparkSession, path: str) -> DataFrame:

@@ -91,7 +91,7 @@ def pbf_file():
 
 def test_map_data_to_blocks(spark):
     data = pbf.split(spark.createDataFrame([("f", bytearray(pbf_file()))], "path string, content binary"), 2)
-    assert pbf.nodes(data).count() == 4 and pbf.ways(data).count() == 4 and pbf.relations(data).first()["members"][0]["role"] == "outer"
+    assert pbf.nodes(data).count() == 5 and pbf.ways(data).count() == 4 and pbf.relations(data).first()["members"][0]["role"] == "outer"
     found = etl.features(pbf.nodes(data), pbf.ways(data), pbf.relations(data))
     rows = {r["kind"]: r for r in found.collect()}
     assert set(rows) == {"road", "water"} and rows["road"]["id"] == 10 and len(rows["road"]["pts"]) == 3 and rows["water"]["id"] < 0 and len(rows["water"]["pts"]) >= 5
@@ -99,6 +99,15 @@ def test_map_data_to_blocks(spark):
     assert {r["kind"] for r in back.collect()} == {"road", "water"} and etl.census(found).count() == 2
 
 
+def test_a_used_node_out_of_bounds_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, 52.0, 13.0), (2, 0.0, 0.0), (3, 0.0, 0.0)], "id long, lat double, lon double")
+    lines = spark.createDataFrame([(10, [1, 2], {"highway": "primary"})], "id long, refs array<long>, tags map<string,string>")
+    relations = spark.createDataFrame([], pbf.RELATIONS)
+    with pytest.raises(Exception, match="out of bounds in way 10"):
+        etl.features(nodes, lines, relations).count()
+    assert etl.features(nodes.where("id <> 2").unionByName(nodes.where("id = 1").withColumn("id", F.lit(2).cast("long"))), lines, relations).count() == 1
+
+
 def test_links_round_trip():
     state = {"box": (52.1234567, 13.1, 52.2, 13.4), "line": "a_b", "sag": 5.0, "kinds": ["urban"], "filters": {"score": 40.0, "maxlen": 300.0, "canopy": 100.0}}
     text = sinks.to_query(state)

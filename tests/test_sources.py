@@ -65,7 +65,7 @@ def test_overpass_poly_and_geojson(spark, tmp_path):
     assert set(got) == {"path", "island"} and got["path"]["bridge"] and got["island"]["id"] < 0
     (tmp_path / "d.poly").write_text("x\n1\n   13.0  52.0\n   14.0  52.5\n   13.5  53.0\nEND\nEND\n")
     assert [tuple(p) for p in readers.read_poly(spark, str(tmp_path / "d.poly")).first()["ring"]] == [(13, 52), (14, 52.5), (13.5, 53)]
-    (tmp_path / "l.json").write_text('{"features":[{"properties":{"country":"DE","type":"h"},"geometry":{"type":"LineString","coordinates":[[1,2],[3,4]]}},{"properties":{"country":"FR","type":"h"},"geometry":null}]}')
+    (tmp_path / "l.json").write_text('{"features":[{"properties":{"c":"DE","lt":"h"},"geometry":{"type":"LineString","coordinates":[[1,2],[3,4]]}},{"properties":{"c":"FR","lt":"h"},"geometry":null}]}')
     assert readers.known_lines(spark, str(tmp_path / "l.json")).first()["type"] == "LineString"
 
 
