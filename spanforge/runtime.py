@@ -106,11 +106,13 @@ def among(big: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     return big.join(F.broadcast(keys) if few else keys, name, how)
 
 
-def attach_copies(big: DataFrame, small: DataFrame, key: str, copies: str, hot: int = COPIES) -> DataFrame:
-    """Inner join of a staged table with a staged one of a row per key, whose column `copies` says how many rows big has of it.
+def attach_copies(big: DataFrame, small: DataFrame, key: str | list[str], copies: str, hot: int = COPIES) -> DataFrame:
+    """Inner join of a staged table with a staged one of a row per key (one column or several, none null), whose column
+    `copies` says how many rows big has of it.
 
     Keys with more than `hot` rows, which are few, are attached apart: they are broadcast, or salted if they are not few after all.
     """
+    keys = [key] if isinstance(key, str) else key
     busy = stage(small.where(F.col(copies) > hot), "hot-keys")
-    cold = big.join(small.where(F.col(copies) <= hot), key)
-    return cold.unionByName(attach(big, busy, [key], "inner").select(*cold.columns))
+    cold = big.join(small.where(F.col(copies) <= hot), keys)
+    return cold.unionByName(attach(big, busy, keys, "inner").select(*cold.columns))
