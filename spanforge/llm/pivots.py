@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.components import components, forest
 from spanforge.llm.words import frugal
-from spanforge.runtime import attach, stage
+from spanforge.runtime import attach, attach_copies, stage
 
 THRESHOLD = 0.98
 #: Nearest pivots that describe a vector, pivots at least and at most (about the root of the number of vectors between).
@@ -197,7 +197,8 @@ def near_duplicates(df: DataFrame, embedding: str = "embedding", label: str = "l
     Vectors of one label whose cosine (double precision) is at least the threshold link. Equal vectors are
     folded into one before the search and weigh as many as they are. A null label, and a vector that is null,
     empty, zero or has null or non-finite components, links with nothing; vectors of different lengths don't
-    link. Null ids are no smallest id. Repeated rows are copies. Lists longer than `block` are compared block
+    link. Null ids are no smallest id. Repeated rows are copies; those of a vector that has very many, and the
+    vectors of a giant component, are joined without a hot task. Lists longer than `block` are compared block
     by block, all pairs of blocks, in as many tasks. An empty table gives an empty one.
     """
     rows = stage(vectors(df, embedding, label).withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -224,10 +225,10 @@ def near_duplicates(df: DataFrame, embedding: str = "embedding", label: str = "l
     compared = stage(dealt.mapInArrow(lambda it: _lists(it, threshold, width), "nid long, links long, to long"), "compared")
     links = compared.where("to is null").groupBy("nid").agg(F.sum("links").alias("links"))
     parts = components(compared.where("to is not null").select("nid", "to")).withColumnRenamed("node", "nid")
-    parts = stage(parts.join(nodes.select("nid", "rep"), "nid"), "linked")
-    lowest = parts.join(parts.groupBy("root").agg(F.min("rep").alias("low")), "root").select("nid", "low")
+    parts = stage(parts.join(nodes.select("nid", "rep"), "nid").select("nid", "root", "rep"), "linked")
+    lowest = attach(parts, stage(parts.groupBy("root").agg(F.min("rep").alias("low")), "lowest"), ["root"]).select("nid", "low")
     whole = nodes.join(links, "nid", "left").join(lowest, "nid", "left")
-    whole = whole.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
+    whole = stage(whole.select("label", "vec", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")), "whole")
     single = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = rows.where("vec is not null").join(whole, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    joined = attach_copies(rows.where("vec is not null"), whole, ["label", "vec"], "copies").select("vec_id", "n_links", "component_id")
     return joined.unionByName(single).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
