@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.words import frugal, units
+from spanforge.runtime import drop_staged, stage
 
 #: Labelled rows that fit the models, those of the lowest hashes; the only bound, and only on training.
 SAMPLE = 20_000
@@ -55,19 +56,6 @@ class Linear:
     bias: float
 
 
-def telling(doc: np.ndarray, word: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
-    """Words whose presence and the label depend on each other, most so first (ties by number)."""
-    n, pos = len(y), int(y.sum())
-    df = np.bincount(word, minlength=n_words)
-    a = np.bincount(word, y[doc], n_words)
-    b, c = df - a, pos - a
-    d = n - pos - b
-    scale = df * (n - df).astype(np.float64) * pos * (n - pos)
-    chi = np.where(scale > 0, n * (a * d - b * c) ** 2 / np.maximum(scale, 1), 0.0)
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    return best[(chi[best] >= TELLING) & (df[best] >= SEEN)]
-
-
 def ridge_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps; the last column is the bias and carries no penalty."""
     w = np.zeros(x.shape[1])
@@ -88,12 +76,11 @@ def ridge_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_one(doc: np.ndarray, word: np.ndarray, names: list[str], y: np.ndarray, earlier: np.ndarray) -> Linear:
-    """One category's model. Without both labels it is the bias alone, at the label's rate of (k + 0.5) / (n + 1)."""
+def fit_one(doc: np.ndarray, word: np.ndarray, names: list[str], chosen: np.ndarray, y: np.ndarray, earlier: np.ndarray) -> Linear:
+    """One category's model over the chosen words. Without both labels it is the bias alone, at the label's rate of (k + 0.5) / (n + 1)."""
     n, k = len(y), float(y.sum())
     if not 0 < k < n:
         return Linear([], [], [0.0] * earlier.shape[1], float(np.log((k + 0.5) / (n - k + 0.5))))
-    chosen = telling(doc, word, y, len(names))
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + earlier.shape[1] + 1), np.float32)
@@ -112,47 +99,115 @@ def log_odds(m: Linear, names: pa.Array, doc: np.ndarray, word: np.ndarray, n: i
     return np.clip(out + m.bias + earlier @ np.array(m.chain, np.float64), -30, 30)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """A chain for the columns of labels. Each earlier category's log-odds are predicted by models of the other folds."""
-    names, doc, word = word_sets(texts)
-    listed = names.to_pylist()
+def fit(names: list[str], doc: np.ndarray, word: np.ndarray, labels: np.ndarray, folds: np.ndarray, chosen: list[list[np.ndarray]]) -> list[Linear]:
+    """A chain for the columns of labels, from the pairs (doc, word) that occur. chosen holds, for each category, the words
+    of its model and of those without one fold. Each earlier category's log-odds are predicted by models of the other folds."""
     n, chain = len(labels), []
     earlier = np.zeros((n, 0))
+    known = pa.array(names, pa.string())
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(np.float64)
-        chain.append(fit_one(doc, word, listed, y, earlier))
+        chain.append(fit_one(doc, word, names, chosen[k][0], y, earlier))
         unseen = np.zeros(n)
         for f in range(FOLDS):
             rest = np.flatnonzero(folds != f)
             number = np.full(n, -1)
             number[rest] = np.arange(len(rest))
             seen = number[doc] >= 0
-            m = fit_one(number[doc[seen]], word[seen], listed, y[rest], earlier[rest])
-            unseen = np.where(folds == f, log_odds(m, names, doc, word, n, earlier), unseen)
+            m = fit_one(number[doc[seen]], word[seen], names, chosen[k][f + 1], y[rest], earlier[rest])
+            unseen = np.where(folds == f, log_odds(m, known, doc, word, n, earlier), unseen)
         earlier = np.column_stack([earlier, unseen])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", sample: int = SAMPLE) -> list[Linear]:
-    """The chain from at most `sample` labelled documents, fitted in one task; only the models reach the driver.
-
-    Rows with a null label or text are no examples; of several labels of one document the highest counts. Without examples every category has probability one half.
-    """
+def examples(docs: DataFrame, labels: DataFrame, categories: list[str], text: str, sample: int) -> DataFrame:
+    """(doc_id, text, key, fold, y0, y1, ...): the labelled documents that fit the models, one row each, staged."""
     usable = labels.select("doc_id", *[F.col(f"`{c}`").cast("double").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    usable = usable.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))]).orderBy(order, "doc_id").limit(sample)
+    ys = [f"y{i}" for i in range(len(categories))]
+    usable = usable.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys]).orderBy(order, "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(usable), "doc_id")
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[(F.max(y) > 0).cast("long").alias(y) for y in ys])
+    key = F.shiftrightunsigned(order, 8)
+    return stage(once.select("doc_id", "text", key.alias("key"), F.pmod(key, F.lit(FOLDS)).alias("fold"), *ys), "examples")
+
+
+def word_counts(rows: DataFrame, n: int) -> DataFrame:
+    """(word, c<fold>_0, c<fold>_1, ...): examples of each fold with a word, of all labels and with each category's; staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frugal(batches):
+            names, doc, word = word_sets(batch["text"])
+            fold, ys = batch["fold"].to_numpy(), [batch[f"y{i}"].to_numpy() for i in range(n)]
+            cols = []
+            for f in range(FOLDS):
+                mine = fold[doc] == f
+                at = doc[mine]
+                cols += [np.bincount(word[mine], w, len(names)).astype(np.int64) for w in (None, *[y[at] for y in ys])]
+            yield pa.RecordBatch.from_arrays([names, *[pa.array(c) for c in cols]], names=["word", *counted])
+
+    counted = [f"c{f}_{i}" for f in range(FOLDS) for i in range(n + 1)]
+    parts = rows.select("text", "fold", *[f"y{i}" for i in range(n)]).mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in counted))
+    return stage(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in counted]), "word-counts")
+
+
+def telling(counts: DataFrame, category: int, folds: list[int], n: int, positive: int) -> list[str]:
+    """Words whose presence and a category depend on each other in some folds, most so first (ties by word), FEATURES at most."""
+    if not 0 < positive < n:
+        return []
+    df, a = (sum((F.col(f"c{f}_{i}") for f in folds), F.lit(0)) for i in (0, category + 1))
+    b, c = df - a, positive - a
+    odds = (a * (n - positive - b) - b * c).cast("double")
+    scale = df.cast("double") * (n - df) * positive * (n - positive)
+    scored = counts.select("word", df.alias("df"), F.when(scale > 0, n * odds * odds / scale).alias("chi"))
+    best = scored.where((F.col("chi") >= TELLING) & (F.col("df") >= SEEN)).orderBy(F.desc("chi"), "word").limit(FEATURES)
+    return [r["word"] for r in best.select("word").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", sample: int = SAMPLE) -> list[Linear]:
+    """The chain from at most `sample` labelled documents; only telling words and the models reach the driver.
+
+    Words are counted where the texts lie, and the telling ones chosen from the counts. The one task that fits the models
+    gets, for each example, the numbers of the telling words that it holds, never a text, so that its memory is bounded by
+    the sample and by FEATURES, however long texts are. Rows with a null label or text are no examples; of several labels
+    of one document the highest counts, of several texts the lowest. Without examples every category has probability one half.
+    """
     n = len(categories)
+    rows = examples(docs, labels, categories, text, sample)
+    sizes = {r["fold"]: r[1:] for r in rows.groupBy("fold").agg(F.count("*"), *[F.sum(f"y{i}") for i in range(n)]).collect()}
+    if not sizes:
+        return [Linear([], [], [0.0] * i, 0.0) for i in range(n)]
+    counts = word_counts(rows, n)
+    sets = [list(range(FOLDS)), *[[g for g in range(FOLDS) if g != f] for f in range(FOLDS)]]
+    total = [[sum(sizes[f][i] for f in s if f in sizes) for i in range(n + 1)] for s in sets]
+    told = [[telling(counts, k, s, t[0], t[k + 1]) for s, t in zip(sets, total, strict=True)] for k in range(n)]
+    names = sorted({w for per in told for words in per for w in words})
+    number = {w: i for i, w in enumerate(names)}
+    chosen = [[np.array([number[w] for w in words], np.int64) for words in per] for per in told]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for batch in frugal(batches):
+            found, doc, word = word_sets(batch["text"])
+            place = pc.index_in(found, value_set=known).fill_null(-1).to_numpy()[word]
+            there = place >= 0
+            sizes = np.bincount(doc[there], minlength=batch.num_rows)
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(place[there], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in light], held], names=[*light, "held"])
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).slice(0, sample)
+        group = group.combine_chunks().sort_by([("key", "ascending"), ("y0", "ascending")])
+        held = group["held"].combine_chunks()
+        doc = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy())
         y = np.column_stack([group[f"y{i}"].to_numpy() > 0 for i in range(n)])
-        chain = fit(group["text"].combine_chunks(), y, group["key"].to_numpy() % FOLDS)
+        chain = fit(names, doc, held.flatten().to_numpy(), y, group["fold"].to_numpy(), chosen)
         return pa.table({"model": pa.array([json.dumps([vars(m) for m in chain])])})
 
-    got = rows.withColumn("key", F.shiftrightunsigned(order, 8)).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model string").collect()
-    if not got:
-        return [Linear([], [], [0.0] * i, 0.0) for i in range(n)]
+    light = ["key", "fold", *[f"y{i}" for i in range(n)]]
+    marked = rows.select("text", *light).mapInArrow(mark, ", ".join(f"{c} long" for c in light) + ", held array<int>")
+    got = marked.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model string").collect()
+    drop_staged(counts)
+    drop_staged(rows)
     return [Linear(**m) for m in json.loads(got[0]["model"])]
 
 
