@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.params import DEFAULTS
+from spanforge.runtime import BROADCAST_ROWS, stage
 
 
 def blit_max(samples: DataFrame, cx: Column, cy: Column, z: Column) -> DataFrame:
@@ -117,12 +118,24 @@ def bilinear(points: DataFrame, cells: DataFrame, key: str | list[str], e: str =
 
 
 def disc_min(points: DataFrame, cells: DataFrame, key: str, radius: float, res: float = 1.0, e: str = "e", n: str = "n") -> DataFrame:
-    """Lowest z in a disc: rows of the disc are sampled from its western rim on, a cell apart."""
+    """Lowest z in a disc: rows of the disc are sampled from its western rim on, a cell apart.
+
+    Spark reckons the listed spots no larger than the points and would send them all to the driver for a broadcast, so
+    the join is named here: cells in the box of the points are broadcast if they are few, else both sides are shuffled.
+    A cell that a disc samples twice doesn't change its minimum.
+    """
     rows = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(2 * radius / res))), lambda i: i * res - radius))
     at = points.select(key, e, n, rows.alias("dn")).withColumn("half", F.sqrt(F.lit(radius * radius) - F.col("dn") * F.col("dn")))
     at = at.withColumn("de", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("half") * 2 / res).cast("int")), lambda i: i * res - F.col("half"))))
-    at = at.select(key, F.floor((F.col(e) + F.col("de")) / res).alias("cx"), F.floor((F.col(n) + F.col("dn")) / res).alias("cy")).distinct()
-    return at.join(cells, ["cx", "cy"]).groupBy(key).agg(F.min("z").alias("lowest"))
+    at = at.select(key, F.floor((F.col(e) + F.col("de")) / res).alias("cx"), F.floor((F.col(n) + F.col("dn")) / res).alias("cy"))
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (e, n)]
+    box = points.agg(*[f(c).alias(f"{f.__name__}{k}") for k, c in enumerate(known) for f in (F.min, F.max)]).first()
+    for c, low, high in (("cx", box[0], box[1]), ("cy", box[2], box[3])):
+        if low is not None:
+            cells = cells.where((F.col(c) >= F.lit((low - radius) / res - 2)) & (F.col(c) <= F.lit((high + radius) / res + 2)))
+    cells = stage(cells.select("cx", "cy", "z"), "disc-cells")
+    few = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return at.join(F.broadcast(cells) if few else cells.hint("merge"), ["cx", "cy"]).groupBy(key).agg(F.min("z").alias("lowest"))
 
 
 def pack(cells: DataFrame) -> DataFrame:
