@@ -109,10 +109,17 @@ def age_days(stamp: Column, now: Column) -> Column:
 
 
 def age_text(stamp: Column, now: Column) -> Column:
-    """How long ago in the largest unit that fills one: days, hours, minutes (one at least)."""
-    days = age_days(stamp, now)
-    units = [F.when(days >= 1, F.concat(half_up(days).cast("long").cast("string"), F.lit("d ago"))), F.when(days * 24 >= 1, F.concat(half_up(days * 24).cast("long").cast("string"), F.lit("h ago")))]
-    return F.coalesce(*units, F.concat(F.greatest(F.lit(1), half_up(days * 1440).cast("long")).cast("string"), F.lit("m ago")))
+    """How long ago in the largest unit that fills one: days, hours, minutes (one at least).
+
+    Each unit is divided out of whole microseconds: hours taken from a fraction of a day would miss halves and wholes by a rounding error.
+    """
+    age = F.greatest(F.lit(0).cast("long"), F.unix_micros(now) - F.unix_micros(stamp))
+
+    def whole(seconds: int) -> Column:
+        return half_up(age / F.lit(seconds * 1_000_000)).cast("long")
+
+    units = [F.when(age >= F.lit(s * 1_000_000), F.concat(whole(s).cast("string"), F.lit(f"{unit} ago"))) for s, unit in ((86_400, "d"), (3_600, "h"))]
+    return F.coalesce(*units, F.concat(F.greatest(F.lit(1), whole(60)).cast("string"), F.lit("m ago")))
 
 
 def _fixed(x: Column, digits: int) -> Column:
