@@ -25,16 +25,22 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
 def cover(points: DataFrame, polygons: DataFrame, keys: list[str], side: float = 100.0) -> DataFrame:
     """points (keys, e, n) with cover: building before water, water only off islands, none otherwise.
 
-    polygons (kind building, water or island; ring) are listed by the cells of their boxes, so a point meets only rings
-    near it; the exact test follows.
+    polygons (kind building, water or island; ring) are listed by the cells of their boxes, so a place meets only rings
+    near it, each place once, however many points lie there. The exact test, which walks the ring, follows on those whose
+    box holds the place; the box is widened by more than rounding could move an edge.
     """
     e, n = F.transform("ring", lambda p: p["e"]), F.transform("ring", lambda p: p["n"])
-    spans = [F.sequence(F.floor(F.array_min(v) / side), F.floor(F.array_max(v) / side)) for v in (e, n)]
-    listed = polygons.select("kind", "ring", F.explode(spans[0]).alias("ce"), spans[1].alias("rows")).select("kind", "ring", "ce", F.explode("rows").alias("cn"))
-    at = points.select(*keys, "e", "n", F.floor(F.col("e") / side).alias("ce"), F.floor(F.col("n") / side).alias("cn"))
-    met = at.join(listed, ["ce", "cn"]).where(inside(F.col("ring"), F.col("e"), F.col("n"))).groupBy(*keys).agg(*[F.max(F.col("kind") == k).alias(k) for k in ("building", "water", "island")])
+    boxes = polygons.select("kind", "ring", F.array_min(e).alias("w"), F.array_max(e).alias("o"), F.array_min(n).alias("s"), F.array_max(n).alias("h"))
+    spans = [F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side)) for a, b in (("w", "o"), ("s", "h"))]
+    listed = boxes.withColumn("ce", F.explode(spans[0])).withColumn("cn", F.explode(spans[1]))
+    spots = points.select("e", "n").distinct().withColumn("ce", F.floor(F.col("e") / side)).withColumn("cn", F.floor(F.col("n") / side))
+    pad = (F.col("o") - F.col("w")) * 1e-9
+    held = (F.col("e") >= F.col("w") - pad) & (F.col("e") <= F.col("o") + pad) & (F.col("n") >= F.col("s")) & (F.col("n") <= F.col("h"))
+    met = spots.join(listed.hint("merge"), ["ce", "cn"]).where(held).where(inside(F.col("ring"), F.col("e"), F.col("n")))
+    met = met.groupBy("e", "n").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("building", "water", "island")])
     kind = F.when(F.col("building"), "building").when(F.col("water") & ~F.col("island"), "water").otherwise("none")
-    return points.join(met.select(*keys, kind.alias("cover")), keys, "left").withColumn("cover", F.coalesce("cover", F.lit("none")))
+    out = points.join(met.select("e", "n", kind.alias("cover")), ["e", "n"], "left").withColumn("cover", F.coalesce("cover", F.lit("none")))
+    return out.select(*keys, *[c for c in points.columns if c not in keys], "cover")
 
 
 def held_if_complete(wanted: DataFrame, held: DataFrame, key: str, group: str) -> DataFrame:
