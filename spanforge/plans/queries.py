@@ -161,7 +161,8 @@ def pair_sector_gate(spark, sf):
 
 @query(f"""WITH {PAIRED} SELECT i, j FROM pairs WHERE CASE WHEN a_n < b_n OR a_n = b_n AND a_e <= b_e THEN a_e >= 200 AND a_e < 700 AND a_n >= 100 AND a_n < 600 ELSE b_e >= 200 AND b_e < 700 AND b_n >= 100 AND b_n < 600 END""")
 def pair_ownership(spark, sf):
-    return pairs.owned(pairs.band_join(b.points(spark, sf), 50, 100), (200, 100, 700, 600)).select("i", "j")
+    box = (200, 100, 700, 600)
+    return pairs.owned(pairs.band_join(pairs.within_reach(b.points(spark, sf), box, 100), 50, 100), box).select("i", "j")
 
 
 @query(f"WITH {FACING} SELECT count(*) AS in_range, count(*) FILTER (facing) AS facing, count(*) FILTER (facing AND gap <= sqrt(d2) * 0.03::DOUBLE) AS level FROM faced")
