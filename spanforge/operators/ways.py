@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanforge.functions.scalars import half_up
 from spanforge.operators import raster
@@ -99,47 +100,82 @@ def apart2(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.where(_crosses(a, b), 0.0, np.minimum.reduce(ends))
 
 
-def _within(ratio: float):
-    """Batches without the rows whose span and segment are further apart than half and the widest band."""
+#: Pairs of a span and a segment whose boxes one task may hold against each other at once, and those that one group of a cell may have.
+BLOCK, GROUP = 1 << 18, 1 << 24
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ae, an, be, bn, x0, y0, x1, y1, half = (batch.column(c).to_numpy() for c in ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half"))
-            reach = half + np.sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) * ratio
-            yield batch.filter(pa.array(apart2((ae, an, be, bn), (x0, y0, x1, y1)) <= reach * reach))
 
-    return run
+def _met(a: pa.Table, b: pa.Table, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of spans and segments of one cell that are no further apart than half and the widest band, block by block.
 
-
-def near(spans: DataFrame, segs: DataFrame, p: Params = DEFAULTS, cell: float | None = None) -> DataFrame:
-    """Spans (id, ae, an, be, bn) with every segment that may come under their band: apart <= half + widest.
-
-    Both sides are listed by the cells that their boxes touch (a span's box grown by the widest band), so the join is
-    an equi-join; a pair is kept in the lowest cell that both touch, so no distinct is needed, and only if the boxes
-    overlap. The exact distance, whose parts SQL would evaluate over and over, runs on Arrow batches of what is left.
-    A cell is by default as wide as the spans are on average.
+    A pair counts in the lowest cell that both touch: each axis begins here for one of them at least.
     """
-    half = F.col("half")
-    length = F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an"))
+    sw, ss, se, sn, rw, rs, re, rn = (t.column(f"{k}_{c}").to_numpy() for t, k in ((a, "s"), (b, "r")) for c in "wsen")
+    s_first, r_first = ([t.column(c).to_numpy() == t.column(f"{k}_{c}").to_numpy() for c in ("ce", "cn")] for t, k in ((a, "s"), (b, "r")))
+    span = [a.column(c).to_numpy() for c in ("ae", "an", "be", "bn")]
+    seg = [b.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")]
+    half = b.column("half").to_numpy()
+    step = max(1, BLOCK // max(1, len(rw)))
+    for k in range(0, len(sw), step):
+        of = (slice(k, k + step), None)
+        ok = (sw[of] <= re) & (rw <= se[of]) & (ss[of] <= rn) & (rs <= sn[of]) & (s_first[0][of] | r_first[0]) & (s_first[1][of] | r_first[1])
+        i, j = np.nonzero(ok)
+        i += k
+        ae, an, be, bn = (c[i] for c in span)
+        reach = half[j] + np.sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) * ratio
+        on = apart2((ae, an, be, bn), tuple(c[j] for c in seg)) <= reach * reach
+        yield i[on], j[on]
+
+
+def _by_cells(spans: DataFrame, segs: DataFrame, p: Params, cell: float | None, run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """run on the spans and the segments of each cell, with their boxes.
+
+    Both are listed by the cells that their boxes touch (a span's box grown by the widest band). A cell is by default as
+    wide and as high as the spans' boxes are on average; spans of a crowded one are dealt to several groups.
+    """
+    for c in ("ae", "an", "be", "bn"):
+        spans = spans.withColumn(c, F.col(c).cast("double"))
+    for c in ("x0", "y0", "x1", "y1", "half"):
+        segs = segs.withColumn(c, F.col(c).cast("double"))
+    half, widest = F.col("half"), F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an")) * p.side_ratio
+    sides = [cell] * 2
     if cell is None:
-        cell = max(10.0, float(spans.agg(F.avg(F.greatest(F.abs(F.col("be") - F.col("ae")), F.abs(F.col("bn") - F.col("an"))))).first()[0] or 100.0))
+        wide = spans.agg(*[F.avg(F.abs(F.col(f"b{c}") - F.col(f"a{c}")) + 2 * widest) for c in "en"]).first()
+        sides = [max(10.0, float(x or 100.0)) for x in wide]
 
     def listed(df: DataFrame, box: list[Column], name: str) -> DataFrame:
-        sides = {f"{name}{k}": c for k, c in zip(("w", "s", "e", "n"), box, strict=True)}
-        out = df.withColumns(sides).withColumns({f"{name}ce": F.floor(F.col(f"{name}w") / cell), f"{name}cn": F.floor(F.col(f"{name}s") / cell)})
-        return out.withColumn("ce", F.explode(F.sequence(f"{name}ce", F.floor(F.col(f"{name}e") / cell)))).withColumn("cn", F.explode(F.sequence(f"{name}cn", F.floor(F.col(f"{name}n") / cell))))
+        out = df.withColumns({f"{name}{k}": c for k, c in zip(("w", "s", "e", "n"), box, strict=True)})
+        for axis, low, high, side in (("ce", "w", "e", sides[0]), ("cn", "s", "n", sides[1])):
+            out = out.withColumn(f"{name}{axis}", F.floor(F.col(f"{name}{low}") / side)).withColumn(axis, F.explode(F.sequence(f"{name}{axis}", F.floor(F.col(f"{name}{high}") / side))))
+        return out
 
-    widest = length * p.side_ratio
     a = listed(spans, [F.least("ae", "be") - widest, F.least("an", "bn") - widest, F.greatest("ae", "be") + widest, F.greatest("an", "bn") + widest], "s_")
     b = listed(segs, [F.least("x0", "x1") - half, F.least("y0", "y1") - half, F.greatest("x0", "x1") + half, F.greatest("y0", "y1") + half], "r_")
-    overlap = (F.col("s_w") <= F.col("r_e")) & (F.col("r_w") <= F.col("s_e")) & (F.col("s_s") <= F.col("r_n")) & (F.col("r_s") <= F.col("s_n"))
-    lowest = (F.col("s.ce") == F.greatest("s_ce", "r_ce")) & (F.col("s.cn") == F.greatest("s_cn", "r_cn"))
-    same = (F.col("s.ce") == F.col("r.ce")) & (F.col("s.cn") == F.col("r.cn"))
-    kept = [*spans.columns, *segs.columns]
-    met = a.alias("s").join(b.alias("r"), same & overlap & lowest).select(*kept)
-    for c in ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half"):
-        met = met.withColumn(c, F.col(c).cast("double"))
-    return met.mapInArrow(_within(p.side_ratio), met.schema)
+    busy = a.groupBy("ce", "cn").agg(F.count("*").alias("x")).join(b.groupBy("ce", "cn").agg(F.count("*").alias("y")), ["ce", "cn"])
+    shares = -(-(busy.agg(F.max(F.col("x") * F.col("y"))).first()[0] or 1) // GROUP)
+    a = a.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)))
+    b = b.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    keys = ["ce", "cn", "share"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def near(spans: DataFrame, segs: DataFrame, p: Params = DEFAULTS, cell: float | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Spans (id, ae, an, be, bn) with every segment that may come under their band: apart <= half + widest.
+
+    A pair is found in the lowest cell that both touch, so no distinct is needed. Spans and segments of a cell are held
+    against each other as arrays: pairs that don't meet, of which there are many more, are never rows. columns: those
+    wanted, by default all of both.
+    """
+    kinds = {f.name: f.dataType for df in (spans, segs) for f in df.schema.fields} | {c: DoubleType() for c in ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half")}
+    kept = columns or [*spans.columns, *segs.columns]
+    schema = StructType([StructField(c, kinds[c]) for c in kept])
+    own, ratio = set(spans.columns), p.side_ratio
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        met = list(_met(a, b, ratio))
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*met, strict=True) if met else ((), ())))
+        return pa.table({c: (a.column(c).take(pa.array(i)) if c in own else b.column(c).take(pa.array(j))) for c in kept})
+
+    return _by_cells(spans, segs, p, cell, run, schema)
 
 
 _CROSSING = "id long, way long, seg int, kind string, tier string, onBridge boolean, d double, `from` double, `to` double, offset double, feet array<struct<e:double,n:double>>"

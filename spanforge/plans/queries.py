@@ -509,7 +509,7 @@ _REACH = "(half + sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) * 0.04::DO
 
 @query(f"WITH {b.SPANS}, {b.SEGMENTS} SELECT id, way, CAST(seg AS INT) AS seg FROM spans, segments WHERE {_CROSS} OR {_NEAR} <= {_REACH} * {_REACH}")
 def ways_near_spans(spark, sf):
-    return ways.near(b.spans(spark, sf), ways.segments(b.ways(spark, sf))).select("id", "way", "seg")
+    return ways.near(b.spans(spark, sf), ways.segments(b.ways(spark, sf)), columns=["id", "way", "seg"])
 
 
 @query()
