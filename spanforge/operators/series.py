@@ -26,14 +26,15 @@ def fill_gaps(df: DataFrame, key: str, order: list[str], value: str) -> DataFram
     return at.withColumn("filled", filled).drop("a", "b")
 
 
-def merge_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: list[str], ties: list[str] | None = None) -> DataFrame:
     """Overlapping (from, to) of a key joined: from, to, the highest carrier, and d and offset of the interval with the
-    least offset (the first in order of from, to, d among equals); touching ones join."""
+    least offset (the first in order of from, to, d among equals); touching ones join. Intervals that are joined ones
+    have the from, to and d that their offset comes from as ties."""
     w = Window.partitionBy(*keys).orderBy("from", "to", "d")
     reach = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
     at = df.withColumn("rn", F.row_number().over(w)).withColumn("new", F.when(F.col("from") <= reach, 0).otherwise(1))
     at = at.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.min_by(F.struct("d", "offset"), F.struct("offset", "rn"))
+    best = F.min_by(F.struct("d", "offset"), F.struct("offset", *(ties or ["rn"])))
     out = at.groupBy(*keys, "part").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.max("carrier").alias("carrier"), best.alias("best"))
     return out.select(*keys, "from", "to", "carrier", "best.d", "best.offset")
 

@@ -126,7 +126,7 @@ def _met(a: pa.Table, b: pa.Table, ratio: float) -> Iterator[tuple[np.ndarray, n
         yield i[on], j[on]
 
 
-def _by_cells(spans: DataFrame, segs: DataFrame, p: Params, cell: float | None, run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+def _by_cells(spans: DataFrame, segs: DataFrame, p: Params, cell: float | None, run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType | str) -> DataFrame:
     """run on the spans and the segments of each cell, with their boxes.
 
     Both are listed by the cells that their boxes touch (a span's box grown by the widest band). A cell is by default as
@@ -181,55 +181,190 @@ def near(spans: DataFrame, segs: DataFrame, p: Params = DEFAULTS, cell: float |
 _CROSSING = "id long, way long, seg int, kind string, tier string, onBridge boolean, d double, `from` double, `to` double, offset double, feet array<struct<e:double,n:double>>"
 
 
+def _search(ends: tuple[np.ndarray, ...], ratio: float) -> tuple[np.ndarray, ...]:
+    """Where bands of spans meet carriageways of segments, all pairs at once: which do, and of those d, from, to, offset and the places (e, n) of the three feet.
+
+    ends: ae, an, be, bn of the spans, x0, y0, x1, y1, half of the segments.
+    """
+    ae, an, be, bn, x0, y0, x1, y1, half = ends
+    se, sn = be - ae, bn - an
+    length = np.hypot(se, sn)
+    ex, ey = x1 - x0, y1 - y0
+    size = ex * ex + ey * ey
+    size[size == 0] = 1.0  # what is divided by it is nought there
+    all_of = (ae, an, se, sn, x0, y0, ex, ey, size, half, length)
+
+    def band(t: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = 4 * t
+        out *= 1 - t
+        out *= ratio
+        out *= length
+        return out
+
+    def along(t: np.ndarray, of: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Place on the span from the segment's beginning, and how far along the segment the nearest place lies; in place, as it is called most."""
+        ae, an, se, sn, x0, y0, ex, ey, size, _, _ = of
+        px, py = se * t, sn * t
+        px += ae
+        px -= x0
+        py += an
+        py -= y0
+        u = px * ex
+        u += py * ey
+        u /= size
+        np.maximum(u, 0, out=u)
+        np.minimum(u, 1, out=u)
+        return px, py, u
+
+    def gap(t: np.ndarray, of: tuple[np.ndarray, ...] = all_of) -> np.ndarray:
+        px, py, u = along(t, of)
+        px -= of[6] * u
+        py -= of[7] * u
+        px *= px
+        py *= py
+        px += py
+        np.sqrt(px, out=px)
+        px -= of[9]
+        px -= band(t, of[10])
+        return px
+
+    lo, hi = np.zeros(len(ae)), np.ones(len(ae))
+    for _ in range(ROUNDS):
+        going = hi - lo > SMALL
+        if not going.any():
+            break
+        third = (hi - lo) / 3
+        fall = gap(lo + third) < gap(hi - third)
+        hi, lo = np.where(going & fall, hi - third, hi), np.where(going & ~fall, lo + third, lo)
+    at = (lo + hi) / 2
+    least = gap(at)
+    on = (least <= 0) & (length > 0)
+    at, met = at[on], tuple(x[on] for x in all_of)
+
+    def edge(end: float) -> np.ndarray:
+        out = np.full(len(at), end)
+        cut = gap(out, met) > 0
+        outside, inside, of = out[cut], at[cut], tuple(x[cut] for x in met)
+        for _ in range(HALVINGS):
+            mid = (inside + outside) / 2
+            under = gap(mid, of) <= 0
+            inside, outside = np.where(under, mid, inside), np.where(under, outside, mid)
+        out[cut] = inside
+        return out
+
+    def tenths(x: np.ndarray) -> np.ndarray:
+        return np.floor(x * 10 + 0.5) / 10
+
+    def foot(t: np.ndarray) -> np.ndarray:
+        u = along(t, met)[2]
+        return np.stack([met[4] + met[6] * u, met[5] + met[7] * u], 1)
+
+    first, last = edge(0.0), edge(1.0)
+    places = np.stack([foot(t) for t in (first, at, last)], 1)
+    return on, tenths(at * met[10]), tenths(first * met[10]), tenths(last * met[10]), tenths(np.maximum(0, least[on] + band(at, met[10]))), places
+
+
+_ENDS = ("ae", "an", "be", "bn", "x0", "y0", "x1", "y1", "half")
+
+
 def _touch(batches: Iterator[pd.DataFrame], ratio: float) -> Iterator[pd.DataFrame]:
     """Where each span's band meets a segment's carriageway: all rows of a batch are searched at once."""
     for pdf in batches:
-        ae, an, x0, y0, x1, y1, half = (pdf[c].to_numpy(float) for c in ("ae", "an", "x0", "y0", "x1", "y1", "half"))
-        se, sn = pdf["be"].to_numpy(float) - ae, pdf["bn"].to_numpy(float) - an
-        length = np.hypot(se, sn)
-        ex, ey = x1 - x0, y1 - y0
-        size = ex * ex + ey * ey
-
-        def band(t: np.ndarray, length: np.ndarray = length) -> np.ndarray:
-            return 4 * t * (1 - t) * ratio * length
-
-        def gap(t: np.ndarray) -> np.ndarray:
-            px, py = ae + se * t, an + sn * t
-            u = np.clip(np.divide((px - x0) * ex + (py - y0) * ey, size, out=np.zeros_like(size), where=size > 0), 0, 1)
-            return np.hypot(px - x0 - ex * u, py - y0 - ey * u) - half - band(t)
-
-        lo, hi = np.zeros(len(pdf)), np.ones(len(pdf))
-        for _ in range(ROUNDS):
-            going = hi - lo > SMALL
-            third = (hi - lo) / 3
-            fall = gap(lo + third) < gap(hi - third)
-            hi, lo = np.where(going & fall, hi - third, hi), np.where(going & ~fall, lo + third, lo)
-        at = (lo + hi) / 2
-        least = gap(at)
-
-        def edge(end: float) -> np.ndarray:
-            outside, inside = np.full(len(at), end), at.copy()
-            for _ in range(HALVINGS):
-                mid = (inside + outside) / 2
-                under = gap(mid) <= 0
-                inside, outside = np.where(under, mid, inside), np.where(under, outside, mid)
-            return np.where(gap(np.full(len(at), end)) <= 0, end, inside)
-
-        def tenths(x: np.ndarray) -> np.ndarray:
-            return np.floor(x * 10 + 0.5) / 10
-
-        def foot(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            u = np.clip(np.divide((ae + se * t - x0) * ex + (an + sn * t - y0) * ey, size, out=np.zeros_like(size), where=size > 0), 0, 1)
-            return x0 + ex * u, y0 + ey * u
-
-        first, last = edge(0.0), edge(1.0)
-        on = (least <= 0) & (length > 0)
-        places = np.stack([np.stack(foot(t), 1) for t in (first, at, last)], 1)[on]
-        out = pdf.loc[on, ["id", "way", "seg", "kind", "tier"]].assign(onBridge=pdf["bridge"][on], d=tenths(at * length)[on], **{"from": tenths(first * length)[on], "to": tenths(last * length)[on]}, offset=tenths(np.maximum(0, least + band(at)))[on])
+        on, d, start, end, offset, places = _search(tuple(pdf[c].to_numpy(float) for c in _ENDS), ratio)
+        out = pdf.loc[on, ["id", "way", "seg", "kind", "tier"]].assign(onBridge=pdf["bridge"][on], d=d, **{"from": start, "to": end}, offset=offset)
         out["feet"] = pd.Series([[{"e": e, "n": n} for e, n in three] for three in places.tolist()], index=out.index, dtype=object)
         yield out
 
 
+#: Pairs that are searched at once (their arrays stay in a core's cache), stretches held before they are joined, cells that a grid sent to
+#: the workers may have, and places in its box.
+AT_ONCE, HELD, GRID_CELLS, GRID_BOX = 1 << 12, 1 << 19, 1 << 21, 1 << 22
+
+Grid = tuple[int, int, np.ndarray]
+
+
+def _grid(cells: DataFrame) -> Grid | None:
+    """Cells (cx, cy, z) as an array from its lowest column and row on, not a number where there is none; nothing if they are not few or not plain."""
+    cells = stage(cells.select(F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"), F.col("z").cast("double").alias("z")).where("z is not null"), "grid")
+    n, odd, x0, x1, y0, y1 = cells.agg(F.count("*"), F.count_if(F.isnan("z")), F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if not n or odd or n > GRID_CELLS or (x1 - x0 + 1) * (y1 - y0 + 1) > GRID_BOX:
+        return None
+    got = cells.toArrow()
+    out = np.full((x1 - x0 + 1, y1 - y0 + 1), np.nan)
+    out[got.column("cx").to_numpy() - x0, got.column("cy").to_numpy() - y0] = got.column("z").to_numpy()
+    return None if np.count_nonzero(~np.isnan(out)) != n else (x0, y0, out)
+
+
+def _bilinear(grid: Grid, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As `raster.bilinear` at a metre: between four centres, or the own cell's if one lacks data."""
+    x0, y0, z = grid
+
+    def at(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i, j = x.astype(np.int64) - x0, y.astype(np.int64) - y0
+        there = (i >= 0) & (j >= 0) & (i < z.shape[0]) & (j < z.shape[1])
+        return np.where(there, z[np.where(there, i, 0), np.where(there, j, 0)], np.nan)
+
+    x, y = e - 0.5, n - 0.5
+    cx, cy = np.floor(x), np.floor(y)
+    fx, fy = x - cx, y - cy
+    mixed = (1 - fx) * (1 - fy) * at(cx, cy) + (1 - fx) * fy * at(cx, cy + 1) + fx * (1 - fy) * at(cx + 1, cy) + fx * fy * at(cx + 1, cy + 1)
+    return np.where(np.isnan(mixed), at(np.floor(e), np.floor(n)), mixed)
+
+
+def _joined(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (span, class, values) that overlap, joined as `merge_intervals` does. values, by column: from, to, carrier, offset, and
+    the from, to and d that the offset is of."""
+    rows, code, values = (np.concatenate(x) for x in zip(*got, strict=True))
+    if not len(rows):
+        return rows, code, values
+    order = np.lexsort((values[:, 1], values[:, 0], code, rows))
+    rows, code, values = rows[order], code[order], values[order]
+    new = np.r_[True, (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])]
+    reach = pd.Series(values[:, 1]).groupby(np.cumsum(new)).cummax().to_numpy()
+    new[1:] |= values[1:, 0] > reach[:-1]
+    starts, part = np.flatnonzero(new), np.cumsum(new) - 1
+    out = values[np.lexsort((*values.T[:3:-1], values[:, 3], part))[starts]]
+    out[:, 0], out[:, 1], out[:, 2] = values[starts, 0], np.maximum.reduceat(values[:, 1], starts), np.fmax.reduceat(values[:, 2], starts)
+    return rows[starts], code[starts], out
+
+
+_STRETCH = "id long, kind string, tier string, onBridge boolean, `from` double, `to` double, d double, offset double, carrier double, of_from double, of_to double"
+
+
+def _stretches(ratio: float, grids) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Stretches of the spans of a cell under which its segments run, joined within the cell. grids: nothing, or a broadcast pair of
+    them, for ways on the ground and on bridges."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ends = [a.column(c).to_numpy() for c in _ENDS[:4]], [b.column(c).to_numpy() for c in _ENDS[4:]]
+        code = b.select(["kind", "tier", "bridge"]).to_pandas().groupby(["kind", "tier", "bridge"], dropna=False, sort=False).ngroup().to_numpy()
+        high = b.column("bridge").to_pandas().eq(True).to_numpy()
+        got, many = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 7)))], 0
+        for i, j in _met(a, b, ratio):
+            for k in range(0, len(i), AT_ONCE):
+                p, q = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+                on, d, start, end, offset, feet = _search((*(c[p] for c in ends[0]), *(c[q] for c in ends[1])), ratio)
+                p, q = p[on], q[on]
+                carrier = np.full(len(p), np.nan)
+                if grids is not None:
+                    for grid, those in zip(grids.value, (~high[q], high[q]), strict=True):
+                        e, n = feet[those].reshape(-1, 2).T
+                        z = np.fmax.reduce(_bilinear(grid, e, n).reshape(-1, 3), axis=1)
+                        carrier[those] = np.floor(z * 100 + 0.5) / 100
+                got.append((p, code[q], np.stack([start, end, carrier, offset, start, end, d], 1)))
+                many += len(p)
+            if many > HELD:
+                got, many = [_joined(got)], 0
+        rows, of, best = _joined(got)
+        kind = b.take(pa.array(np.unique(code, return_index=True)[1][of]))
+        return pa.table({
+            "id": a.column("id").take(pa.array(rows)), "kind": kind.column("kind"), "tier": kind.column("tier"), "onBridge": kind.column("bridge"), "from": best[:, 0], "to": best[:, 1],
+            "d": best[:, 6], "offset": best[:, 3], "carrier": pa.array(best[:, 2], from_pandas=True), "of_from": best[:, 4], "of_to": best[:, 5],
+        })
+
+    return run
+
+
 # Fixed values of the search in `_touch`: rounds and width at which the bracket of the tightest point is small enough, and halvings of each edge.
 ROUNDS, SMALL, HALVINGS = 40, 1e-6, 24
 
@@ -252,15 +387,20 @@ def carriers(found: DataFrame, ground: DataFrame, surface: DataFrame | None = No
 def crossings(spans: DataFrame, ways: DataFrame, p: Params = DEFAULTS, ground: DataFrame | None = None, surface: DataFrame | None = None) -> DataFrame:
     """Stretches of spans that have a way under their band, overlapping ones of one class joined.
 
-    Candidates come from the cell join; the root search of each is numeric and has no form in SQL, so it runs on Arrow
-    batches. With ground (and, for bridges, surface) carrier is the height of the way itself, where it runs; else null.
+    Candidates come from the cell join; the root search of each is numeric and has no form in SQL, so it runs on arrays,
+    where the stretches of a cell are joined before they are rows. Heights come from a grid sent to the workers if the
+    cells are few (counted), else by joins. With ground (and, for bridges, surface) carrier is the height of the way itself, where it runs; else null.
     """
-    found = near(spans, segments(ways), p).mapInPandas(lambda it: _touch(it, p.side_ratio), _CROSSING)
+    grids = None
     if ground is not None:
-        found = carriers(stage(found, "touching"), ground, surface)
-    else:
-        found = found.withColumn("carrier", F.lit(None).cast("double"))
-    return merge_intervals(found.drop("way", "seg", "feet"), ["id", "kind", "tier", "onBridge"])
+        low = _grid(ground)
+        high = low if surface is None or low is None else _grid(surface)
+        if low is None or high is None:
+            found = near(spans, segments(ways), p).mapInPandas(lambda it: _touch(it, p.side_ratio), _CROSSING)
+            return merge_intervals(carriers(stage(found, "touching"), ground, surface).drop("way", "seg", "feet"), ["id", "kind", "tier", "onBridge"])
+        grids = spans.sparkSession.sparkContext.broadcast((low, high))
+    found = _by_cells(spans, segments(ways), p, None, _stretches(p.side_ratio, grids), _STRETCH)
+    return merge_intervals(found, ["id", "kind", "tier", "onBridge"], ["of_from", "of_to", "d"])
 
 
 def fill(polygons: DataFrame, res: float = 1.0) -> DataFrame:
